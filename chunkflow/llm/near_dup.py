@@ -103,6 +103,42 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     return pairs.mapInArrow(_confirm(width, percent), "a long, b long")
 
 
+def _sets(width: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("full", pa.list_(pa.int64()))])
+
+    def run(it):
+        for batch in it:
+            texts = batch.column(1).to_pylist()
+            for a, b in words.batches(texts):
+                sets = words.shingles(*words.hash_words(words.encode(texts[a:b])), width)
+                ends = pa.array(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
+
+    return run
+
+
+def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components c of one bucket; sizes, sketches and full sets are part of the join.
+
+    Only confirmed links leave the join, and a pair is tried in the first of its common buckets alone.
+    """
+    ids = members.select("doc_id").distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, full array<long>")
+    full = saved(reps.join(ids, "doc_id", "left_semi").join(sets, "doc_id"), "sets")
+    rows = members.join(full, "doc_id")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "c", "n", "sketch", "bands", "full"))) for x in "ab")
+    differing = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(BITS // 64))
+    tests = (
+        "doc_id_a < doc_id_b AND c_a <> c_b",
+        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)",
+        f"{differing} <= {most_differing_bits(percent / 100 - SLACK)}",
+        "a.key = array_min(array_intersect(bands_a, bands_b))",
+        f"(100 + {percent}) * size(array_intersect(full_a, full_b)) >= {percent} * (n_a + n_b)",
+    )
+    found = a.alias("a").join(b.alias("b"), F.expr(" AND ".join(f"({t})" for t in ("a.key = b.key", *tests))))
+    return found.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -137,11 +173,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     placed = members.select("key", "doc_id").join(first, F.col("id") == F.col("doc_id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     placed = saved(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key")
-    right = left.select("key", F.col("doc_id").alias("b"), F.col("c").alias("d"))
-    across = left.withColumnRenamed("doc_id", "a").join(right, "key").where("a < b and c <> d").select("a", "b").distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = saved(_confirmed(across, reps, texts, width, percent), "links")
+    left = saved(placed.join(mixed, "key"), "mixed")
+    more = saved(_across(left, reps, texts, width, percent), "links")
 
     whole = components(links.unionByName(more)) if more.limit(1).count() else first
     whole = whole.select(F.col("id").alias("rep"), "component")
