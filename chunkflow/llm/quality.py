@@ -149,17 +149,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     return GatedAttention.fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in got["x"]], got["label"].to_numpy(float))
 
 
-def score_quality(docs: DataFrame, model: GatedAttention | None) -> DataFrame:
-    """doc_id and score of every whole text; 0.5 without a model."""
+def score_column(model: GatedAttention | None):
+    """Score of a whole text; 0.5 without a model."""
 
-    def run(it):
-        for f in it:
-            texts = f["text"].tolist()
-            for a, b in words.batches(texts):
-                score = model.score(*passages(texts[a:b])) if model else np.full(b - a, 0.5)
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[a:b], "score": score})
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        texts = texts.tolist()
+        parts = [model.score(*passages(texts[a:b])) if model else np.full(b - a, 0.5) for a, b in words.batches(texts)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
+    return run(F.col("text").cast("string"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
@@ -168,9 +167,15 @@ def quality(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, thr
     Null texts are empty texts and are scored too. Null ids are scored, not held out and not learnt from. Repeated rows
     are each scored. Labels, lang, source and doc_id are no inputs of a score; other columns are ignored.
     """
-    scored = score_quality(docs, train_quality(docs, labels, mod, held))
+    score = score_column(train_quality(docs, labels, mod, held))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
     return scored.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose text scores at least the threshold."""
+    return docs.where(score_column(train_quality(docs, labels)) >= threshold)
+
+
 def op1_attention_mil_quality(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -192,6 +192,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     files = max(1, -(-d.count() // DOCS_A_FILE))
     d = d.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
+    d = d.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
+
     def write(it):
         out, n, k = FileWriter(bits), 0, 0
         for f in it:

@@ -224,13 +224,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, th
     """
     model = train_toxicity(docs, labels, mod, held)
 
-    def run(it):
-        for f in it:
-            texts = f["text"].tolist()
-            for a, b in words.batches(texts):
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[a:b], "score": model.score(texts[a:b]) if model else np.zeros(b - a)})
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        texts = texts.tolist()
+        parts = [model.score(texts[a:b]) if model else np.zeros(b - a) for a, b in words.batches(texts)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("score"))
     return scored.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

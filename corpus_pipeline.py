@@ -2,17 +2,60 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from chunkflow.llm.common import saved, table
+from chunkflow.llm.mixing import TARGETS, mix, written_order
 from chunkflow.llm.near_dup import near_duplicates
+from chunkflow.llm.packing import pack
+from chunkflow.llm.pii import replace_pii
+from chunkflow.llm.quality import keep_good
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Drops the documents that the classifier rejects."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Keeps the document with the smallest id of each group; rows without an id are not compared and stay."""
+    found = near_duplicates(docs).where("doc_id is not null")
+    kept = saved(found.where("kept").select("doc_id"), "kept")
+    out = docs.join(kept.distinct(), "doc_id", "left_semi")
+    if kept.count() > kept.distinct().count():  # rows that repeat an id are one document
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def pii_stage(spark, docs, sf_dir):
+    """Replaces personal data in the texts."""
+    return replace_pii(docs).select(docs.columns)
 
-STAGES = []
+
+def mixing_stage(spark, docs, sf_dir):
+    """Writes the documents in the order in which the sources are mixed to their target weights."""
+    return written_order(mix(docs, TARGETS, "doc_id")).select(docs.columns)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Packs the documents into bins."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("PII", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: The classifier and the packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
     """Applies the stages to documents, each written as Parquet and read again."""
-    from chunkflow.llm.common import saved, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
