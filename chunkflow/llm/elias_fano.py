@@ -6,6 +6,10 @@ import numpy as np
 
 #: Bits of the upper part between two entries of its directory.
 STRIDE = 128
+#: For each byte and k: the place of its k-th set bit.
+_PLACE = np.full((256, 9), 8, np.int64)
+for _b in range(256):
+    _PLACE[_b, : _b.bit_count()] = [i for i in range(8) if _b >> i & 1]
 
 
 def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
@@ -42,13 +46,17 @@ class Sequence:
     def _select(self, directory: np.ndarray, k: np.ndarray, bit: int) -> np.ndarray:
         """Position of the k-th (from 0) such bit."""
         out = np.empty(len(k), np.int64)
-        for i in range(0, len(k), 1 << 14):
-            part = k[i : i + (1 << 14)]
+        for i in range(0, len(k), 1 << 15):
+            part = k[i : i + (1 << 15)]
             block = np.searchsorted(directory, part, "right") - 1
             rows = self.bits.reshape(-1, STRIDE // 8)[block]
-            hit = np.unpackbits(rows, axis=1, bitorder="little") == bit
-            want = (part - directory[block]).astype(np.int16)
-            out[i : i + (1 << 14)] = block * STRIDE + (np.cumsum(hit, 1, dtype=np.int16) <= want[:, None]).sum(1)
+            rows = rows if bit else ~rows
+            upto = np.cumsum(np.bitwise_count(rows), 1, dtype=np.uint8)
+            want = (part - directory[block]).astype(np.int64)
+            byte = np.minimum((upto <= want[:, None]).sum(1), STRIDE // 8 - 1)
+            line = np.arange(len(part))
+            before = np.where(byte > 0, upto[line, byte - 1], 0)
+            out[i : i + (1 << 15)] = block * STRIDE + byte * 8 + _PLACE[rows[line, byte], want - before]
         return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -56,21 +64,27 @@ class Sequence:
         return ((at - i) << self.low) | self.low_bits(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it is absent: search for the successor within its bucket of high bits."""
+        """Index of each value, -1 where it is absent: the successor within the bucket of its high bits, by bisection."""
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
         ok = np.flatnonzero((values >= 0) & (values < self.universe))
         high, low = values[ok] >> self.low, values[ok] & ((1 << self.low) - 1)
-        at = np.zeros(len(ok), np.int64)
+        first = np.zeros(len(ok), np.int64)
         later = high > 0
-        at[later] = self._select(self.zeros, high[later] - 1, 0) + 1
-        index = at - high
-        while len(ok):
-            here = self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-            ok, low, at, index = ok[here], low[here], at[here], index[here]
-            got = self.low_bits(index)
-            out[ok[got == low]] = index[got == low]
-            more = got < low
-            ok, low, at, index = ok[more], low[more], at[more] + 1, index[more] + 1
+        first[later] = self._select(self.zeros, high[later] - 1, 0) + 1 - high[later]
+        last = self._select(self.zeros, high, 0) - high
+        some = first < last
+        ok, low, first, last = ok[some], low[some], first[some], last[some]
+        end = last.copy()
+        todo = np.arange(len(ok))
+        while len(todo):
+            middle = (first[todo] + last[todo]) >> 1
+            less = self.low_bits(middle) < low[todo]
+            first[todo[less]] = middle[less] + 1
+            last[todo[~less]] = middle[~less]
+            todo = todo[first[todo] < last[todo]]
+        at = np.flatnonzero(first < end)
+        at = at[self.low_bits(first[at]) == low[at]]
+        out[ok[at]] = first[at]
         return out

@@ -154,7 +154,8 @@ class Pairs:
     def look(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | v), NaN where the shard has no such pair."""
         out = np.full(len(v), np.nan)
-        context = self.contexts.find(v)
+        different, back = np.unique(v, return_inverse=True)
+        context = self.contexts.find(different)[back]
         known = np.flatnonzero(context >= 0)
         at = self.children.find(context[known] * self.size + w[known])
         hit = at >= 0
