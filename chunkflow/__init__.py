@@ -1,0 +1 @@
+"""Document processing on Spark: extraction, normalisation, chunking, model calls with retries, merging, layout."""
