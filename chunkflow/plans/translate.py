@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TranslationOptions
+from ..functions.once import with_once
 from ..functions.text import is_blank, preprocess, sanitize_output
 from ..operators import attempts, chunking, merging, validation
 
@@ -46,15 +47,16 @@ class Pipeline:
     validate: Callable[..., Column] = validation.reason
 
     def chunks(self, pages: DataFrame) -> DataFrame:
-        docs = reject_empty(extract(pages)).where("reason is null").select("doc_id", preprocess(F.col("raw")).alias("raw"))
+        docs = reject_empty(extract(pages)).where("reason is null").select("doc_id", "raw")
+        docs = with_once(docs, "raw", preprocess(F.col("raw")))
         return self.chunker(docs) if self.chunker else chunking.paragraph_chunks(docs, self.options.max_chars_per_chunk)
 
     def results(self, chunks: DataFrame) -> DataFrame:
         """One attempt by a native translator: a second would give the same output."""
         o = self.options
-        done = chunks.withColumn("given", F.col("text")).withColumn("out", self.translator(F.col("text"), F.lit(o.target_language)))
+        done = with_once(chunks.withColumn("given", F.col("text")), "out", self.translator(F.col("text"), F.lit(o.target_language)))
         why = self.validate(F.col("given"), F.col("out"), o.min_output_chars, o.min_output_to_input_ratio)
-        done = done.withColumn("why", why)
+        done = with_once(done, "why", why)
         good = F.col("why").isNull()
         return done.select(
             "doc_id", "chunk_index",
@@ -65,7 +67,8 @@ class Pipeline:
         )
 
     def merged(self, results: DataFrame) -> DataFrame:
-        return merging.merge_success(results).select("doc_id", sanitize_output(F.col("merged")).alias("merged"))
+        merged = with_once(merging.merge_success(results), "merged", F.col("merged"))
+        return merged.select("doc_id", sanitize_output(F.col("merged")).alias("merged"))
 
     def run(self, pages: DataFrame) -> DataFrame:
         return self.merged(self.results(self.chunks(pages)))
