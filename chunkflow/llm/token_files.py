@@ -219,7 +219,8 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
             for path, data in zip(f["path"], f["content"]):
                 shard = int(re.search(r"ids-(\d+)\.cfp$", path)[1])
                 rows = [(shard, d, at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in FileReader(data).documents()]
-                yield pd.DataFrame(rows, columns=["shard", "doc_id", "at", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                names, columns = ["shard", "doc_id", "at", "n_tokens", "ids_crc32"], list(zip(*rows)) or [[]] * 5
+                yield pd.DataFrame({k: pd.array(list(c), "Int64") for k, c in zip(names, columns)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cfp").load(folder) if manifest.limit(1).count() else None
     if files is None:

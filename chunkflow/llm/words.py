@@ -41,7 +41,7 @@ def encode(texts) -> list[bytes]:
 def _power(n: int) -> np.ndarray:
     global _POWERS
     while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1] * _POWERS[1])])
+        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * _POWERS[1:2])])
     return _POWERS
 
 
