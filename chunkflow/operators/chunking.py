@@ -51,8 +51,12 @@ def pack_words(text: Column, size: int) -> Column:
     if size <= 0:
         raise ValueError("size must be positive")
     words = F.filter(F.split(text, rf"{WS}+", -1), lambda w: w != "")
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
-    return F.when(F.size(words) > 0, groups).otherwise(F.array().cast("array<string>"))
+
+    def groups(w: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+        return F.when(F.size(w) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), groups)[0]  # the text is split once, not once for each group
 
 
 def _exploded(docs: DataFrame, chunks: Column) -> DataFrame:
