@@ -32,6 +32,18 @@ def write_bytes(uri: str, data: bytes) -> None:
     os.replace(f"{path}.{os.getpid()}.tmp", path)
 
 
+def read_bytes(uri: str) -> bytes:
+    path = _local(uri)
+    if path is None:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(at) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def mapped(uri: str) -> np.ndarray:
     """The file's bytes, memory-mapped; a file that is not on a mounted file system is fetched to a local copy first."""
     path = _local(uri)

@@ -24,14 +24,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, saved, table
-from .files import write_bytes
+from .files import read_bytes, write_bytes
+from .words import batches
 
 MAGIC = b"CFPLANE1"
 BLOCK = 65_536
 #: Documents of one file, about.
 DOCS_A_FILE = 4_000
-#: Different words that an encoder remembers before it starts anew.
-WORDS_KEPT = 1_500_000
+#: Different words that an encoder remembers before it starts anew, and characters of text that it takes at a time.
+WORDS_KEPT, CHARS = 400_000, 1_000_000
+#: How a byte-level BPE writes a space.
+SPACE = "\u0120"
+
+
+class _Codes(dict):
+    """Numbers of units, given out in order; `fresh` holds the units that have no ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.fresh.append(unit)
+        return n
 
 
 class Encoder:
@@ -39,7 +54,8 @@ class Encoder:
 
     A space that stands before another character begins a new pre-token of a byte-level BPE, so a text may be cut
     before its spaces and the parts encoded alone. Texts with longer runs of white space around a space, or with the
-    text of an added token, are encoded whole.
+    text of an added token, are encoded whole. New parts are encoded in one run: no token but a part's first begins
+    with a space.
     """
 
     def __init__(self, path: str):
@@ -49,46 +65,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s \s", r"\s\s\Z", "\0", *map(re.escape, added)]))
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self._forget()
 
     def _forget(self):
-        self.codes: dict[str, int] = {}
-        self.parts, self.sizes, self.flat = [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, units: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in ids], np.int64)])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        #: Parts after a space, and first parts of texts; rows of each: sizes and ids of its parts, one after another.
+        self.codes = (_Codes(), _Codes())
+        self.known = [(np.zeros(0, np.int64), np.zeros(0, np.uint32)) for _ in self.codes]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, side: int, sizes: np.ndarray, flat: np.ndarray):
+        before = self.known[side]
+        self.known[side] = np.concatenate([before[0], sizes]), np.concatenate([before[1], flat])
+        self.codes[side].fresh.clear()
+
+    def _learn_fresh(self):
+        later, first = (c.fresh for c in self.codes)
+        if later:
+            ids = self._ids(" " + " ".join(later))
+            at = np.flatnonzero(self.begins[ids])
+            self._learn(0, np.diff(np.append(at, len(ids))), ids)
+        if first:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
+            self._learn(1, np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.uint32))
+
+    def _spread(self, side: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part, and all their ids."""
+        sizes, flat = self.known[side]
+        n, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(n)
+        return n, flat[np.arange(n.sum()) + np.repeat(starts - (ends - n), n)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.codes) > WORDS_KEPT:
+        if sum(map(len, self.codes)) > WORDS_KEPT:
             self._forget()
-        codes, fresh, rows = self.codes, [], []
-
-        def code(unit):
-            codes[unit] = n = len(codes)
-            fresh.append(unit)
-            return n
-
-        out: list = [None] * len(texts)
+        later, first = (c.__getitem__ for c in self.codes)
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
+        cut, heads, tails = [], [], []
         for i, t in enumerate(texts):
-            t = t or ""
+            if not t:
+                continue
             if self.whole.search(t):
-                out[i] = np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
+                out[i] = self._ids(t)
                 continue
-            first, *rest = t.split(" ")
-            get = codes.get
-            row = [] if not first else [c if (c := get("\0" + first)) is not None else code("\0" + first)]
-            row += [c if (c := get(u)) is not None else code(u) for u in rest]
-            rows.append((i, row))
-        if fresh:
-            self._learn([u[1:] if u[:1] == "\0" and len(u) > 1 else " " + u for u in fresh])
-        starts = np.cumsum(self.sizes) - self.sizes
-        for i, row in rows:
-            row = np.array(row, np.int64)
-            n = self.sizes[row]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[i] = self.flat[np.repeat(starts[row], n) + within]
+            head, *rest = t.split(" ")
+            cut.append(i)
+            heads.append(first(head) if head else -1)
+            tails.append(np.fromiter(map(later, rest), np.int64, len(rest)))
+        if not cut:
+            return out
+        self._learn_fresh()
+        n, ids = self._spread(0, np.concatenate(tails))
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(x) for x in tails])]
+        heads = np.array(heads)
+        head_n = np.zeros(len(heads), np.int64)
+        head_n[heads >= 0], head_ids = self._spread(1, heads[heads >= 0])
+        head_ends = np.concatenate([[0], np.cumsum(head_n)])
+        for k, i in enumerate(cut):
+            out[i] = np.concatenate([head_ids[head_ends[k] : head_ends[k + 1]], ids[ends[k] : ends[k + 1]]])
         return out
 
 
@@ -181,6 +219,10 @@ class FileReader:
             held, at = held[size:], at + size
 
 
+def file_of(folder: str, shard: int) -> str:
+    return f"{folder}/ids-{shard:07d}.cfp"
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False) -> DataFrame:
     """Writes the documents' ids in ascending doc_id order, end_id after each; one row per file: shard, docs, n_tokens.
 
@@ -198,34 +240,32 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         out, n, k = FileWriter(bits), 0, 0
         for f in it:
             texts, ids = f["text"].tolist(), f["doc_id"].astype(object).where(f["doc_id"].notna(), None).tolist()
-            for a in range(0, len(texts), 256):
-                for doc_id, x in zip(ids[a : a + 256], encoder(tokenizer).encode(texts[a : a + 256])):
+            for a, b in batches(texts, CHARS):
+                for doc_id, x in zip(ids[a:b], encoder(tokenizer).encode(texts[a:b])):
                     x = np.append(x, np.uint32(end_id))
                     out.add(None if doc_id is None else int(doc_id), x)
                     n, k = n + len(x), k + 1
         if k:
             shard = TaskContext.get().partitionId()
-            write_bytes(f"{folder}/ids-{shard:07d}.cfp", out.close())
+            write_bytes(file_of(folder, shard), out.close())
             yield pd.DataFrame({"shard": [shard], "docs": [k], "n_tokens": [n]})
 
     return saved(d.mapInPandas(write, "shard long, docs long, n_tokens long"), "manifest")
 
 
-def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32. A task holds one file at a time."""
 
     def read(it):
         for f in it:
-            for path, data in zip(f["path"], f["content"]):
-                shard = int(re.search(r"ids-(\d+)\.cfp$", path)[1])
+            for shard in f["shard"].tolist():
+                data = read_bytes(file_of(folder, shard))
                 rows = [(shard, d, at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in FileReader(data).documents()]
                 names, columns = ["shard", "doc_id", "at", "n_tokens", "ids_crc32"], list(zip(*rows)) or [[]] * 5
                 yield pd.DataFrame({k: pd.array(list(c), "Int64") for k, c in zip(names, columns)})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cfp").load(folder) if manifest.limit(1).count() else None
-    if files is None:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    rows = files.select("path", "content").mapInPandas(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    files = manifest.count()
+    rows = manifest.select("shard").repartition(max(1, files), "shard").mapInPandas(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = manifest.select("shard", before.alias("before"))  # a row per file
     return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
@@ -236,4 +276,4 @@ def op4_bit_plane_tokens(spark, sf_dir: str, tokenizer: str | None = None) -> Da
 
     folder = new_folder(spark, "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(spark, folder, manifest)
+    return read_token_files(folder, manifest)

@@ -143,14 +143,14 @@ def test_token_files(spark, tokenizer, tmp_path):
     plain = Tokenizer.from_file(tokenizer)
     rows = [(5, "hello world"), (2**60 + 1, None), (-1, ""), (5, "abc"), (None, "null id"), (9, "tail " * 50_000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start long")
-    got = token_files.read_token_files(spark, f"file://{tmp_path}", token_files.write_token_files(df, f"file://{tmp_path}", tokenizer)).orderBy("start").collect()
+    got = token_files.read_token_files(f"file://{tmp_path}", token_files.write_token_files(df, f"file://{tmp_path}", tokenizer)).orderBy("start").collect()
     at = 0
     for (i, t), r in zip(sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), got, strict=True):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     empty = token_files.write_token_files(df.limit(0), f"file://{tmp_path}/e", tokenizer)
-    assert token_files.read_token_files(spark, f"file://{tmp_path}/e", empty).collect() == []
+    assert token_files.read_token_files(f"file://{tmp_path}/e", empty).collect() == []
 
 
 def test_elias_fano():
