@@ -159,12 +159,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     rows = saved(rows, "rows")
     wanted = rows.where("doc_id = rep").select("doc_id").distinct()
     reps = saved(raw.join(wanted, "doc_id", "left_semi").where("n > 0").select("doc_id", "n", "bands", "sketch"), "reps")
-    texts = docs.where("doc_id is not null")
 
     in_bucket = reps.select("doc_id", F.explode("bands").alias("key"))
     full = in_bucket.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     full = saved(full, "buckets")
     members = saved(in_bucket.join(full, "key"), "members")
+    paired = members.select("doc_id").distinct()
+    texts = saved(docs.join(paired, "doc_id", "left_semi"), "texts")  # whole texts are shuffled this once
     star = members.select("doc_id", F.explode(F.array("lo", "hi")).alias("hub")).where("doc_id <> hub")
     star = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = saved(_confirmed(star, reps, texts, width, percent), "links")
