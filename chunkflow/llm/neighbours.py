@@ -12,8 +12,10 @@ from .vectors import matrix, usable
 
 #: Projections, the share of them that a vector must collide in, the window's width at radius 1 and the radii's ratio.
 PROJECTIONS, SHARE, WIDTH, RATIO = 64, 0.55, 2.7, 1.15
-#: Rows of one index, and queries that meet it at a time.
-BLOCK, QUERIES = 8_000, 2_000
+#: Rows of one index, queries that meet it in one task, and of these how many search at a time.
+BLOCK, QUERIES, TOGETHER = 16_000, 4_000, 64
+#: Radii whose windows are looked up at once.
+STEPS = 12
 
 
 class Index:
@@ -23,39 +25,80 @@ class Index:
         self.x, self.ids = x, ids
         self.scale = max(float(np.abs(x).max()), 1e-300)
         self.lines = np.random.default_rng(5).standard_normal((x.shape[1], PROJECTIONS))
-        p = (x / self.scale) @ self.lines
-        self.order = np.argsort(p, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(p, self.order, axis=0)
-        spread = np.sqrt(((x / self.scale - (x / self.scale).mean(0)) ** 2).sum(1).mean())
+        self.scaled = x / self.scale
+        p = self.scaled @ self.lines
+        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(np.ascontiguousarray(p.T), self.order, axis=1)
+        spread = np.sqrt(((self.scaled - self.scaled.mean(0)) ** 2).sum(1).mean())
         self.first = max(spread / 16, 1e-12)
+        self.squares = (self.scaled**2).sum(1)
 
-    def nearest(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest that the windows find, ties to smaller ids.
+    def nearest(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, rows and distances of the k nearest that its windows find, ties to smaller ids.
 
         At radius R the window of each projection reaches WIDTH * R / 2 to both sides of the query; a row in enough
-        windows is verified. Windows grow until k verified rows lie within R, or until they hold every row.
+        windows is verified. Windows grow until k verified rows lie within R, or until they hold every row. The edges
+        of STEPS radii are looked up at once for all queries that are not done.
         """
-        n, need = len(self.x), int(np.ceil(SHARE * PROJECTIONS))
         centre = (q / self.scale) @ self.lines
-        lo = np.array([np.searchsorted(self.sorted[:, j], centre[j]) for j in range(PROJECTIONS)])
-        hi, hits, tried = lo.copy(), np.zeros(n, np.int64), self.ids == own
-        rows, far, radius = np.zeros(0, np.int64), np.zeros(0), self.first
-        while True:
-            new = []
+        asked = [_Query(self, x, i) for x, i in zip(q, own)]
+        todo, radius = np.arange(len(q)), self.first
+        while len(todo):
+            radii = radius * RATIO ** np.arange(STEPS)
+            wide = centre[todo, :, None] + np.concatenate([-radii[::-1], radii]) * WIDTH / 2
+            edges = np.empty(wide.shape, np.int64)
             for j in range(PROJECTIONS):
-                a = np.searchsorted(self.sorted[:, j], centre[j] - WIDTH * radius / 2, "left")
-                b = np.searchsorted(self.sorted[:, j], centre[j] + WIDTH * radius / 2, "right")
-                new += [self.order[a : lo[j], j], self.order[hi[j] : b, j]]
-                lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            hits += np.bincount(np.concatenate(new), minlength=n)
-            more = np.flatnonzero((hits >= need) & ~tried)
-            tried[more] = True
-            rows, far = np.concatenate([rows, more]), np.concatenate([far, distances(self.x[more], q)])
-            if (far <= radius * self.scale).sum() >= k or tried.all():
-                break
-            radius *= RATIO
-        best = np.lexsort((self.ids[rows], far))[:k]
-        return rows[best], far[best]
+                edges[:, j, :STEPS] = np.searchsorted(self.sorted[j], wide[:, j, :STEPS], "left")
+                edges[:, j, STEPS:] = np.searchsorted(self.sorted[j], wide[:, j, STEPS:], "right")
+            done = [asked[i].grow(e[:, STEPS - 1 :: -1], e[:, STEPS:], radii, k) for i, e in zip(todo, edges)]
+            todo, radius = todo[~np.array(done, bool)], radius * RATIO**STEPS
+        return [x.best(k) for x in asked]
+
+
+class _Query:
+    """How far one query's windows have grown, how often each row lies in them and which rows are verified."""
+
+    def __init__(self, index: Index, q: np.ndarray, own: int):
+        self.index, self.q = index, q
+        self.hits, self.tried = np.zeros(len(index.x), np.int64), index.ids == own
+        self.lo = self.hi = None
+        self.rows, self.squares = np.zeros(0, np.int64), np.zeros(0)
+        scaled = q / index.scale
+        self.scaled, self.own_square = scaled, float(scaled @ scaled)
+
+    def grow(self, lo: np.ndarray, hi: np.ndarray, radii: np.ndarray, k: int) -> bool:
+        """Takes windows of growing radii (projections x radii) up to the one that ends the search, if there is one."""
+        order, n, need = self.index.order, len(self.index.x), int(np.ceil(SHARE * PROJECTIONS))
+        least = min(k, n - int(self.tried.sum()) + len(self.rows)) * need  # collisions that the rows wanted have together
+        held = (hi - lo).sum(0)
+        for t in range(len(radii)):
+            if held[t] < least:  # too few collisions for an end at this radius: its rows count at the next
+                continue
+            a, b = lo[:, t], hi[:, t]
+            if self.lo is None:
+                new = [order[j, i:e] for j, (i, e) in enumerate(zip(a.tolist(), b.tolist()))]
+            else:
+                new = [order[j, i:e] for j, (i, e) in enumerate(zip(a.tolist(), self.lo.tolist()))]
+                new += [order[j, i:e] for j, (i, e) in enumerate(zip(self.hi.tolist(), b.tolist()))]
+            self.lo, self.hi = a, b
+            self.hits += np.bincount(np.concatenate(new), minlength=n)
+            more = np.flatnonzero((self.hits >= need) & ~self.tried)
+            self.tried[more] = True
+            near = self.index.squares[more] + self.own_square - 2 * self.index.scaled[more] @ self.scaled
+            self.rows, self.squares = np.concatenate([self.rows, more]), np.concatenate([self.squares, near])
+            if (self.squares <= radii[t] ** 2).sum() >= k or self.tried.all():
+                return True
+        return False
+
+    def best(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances by the dot product rule out rows by more than its rounding; exact ones order the rest."""
+        slack = 64 * np.finfo(float).eps * len(self.q) * (self.index.squares[self.rows] + self.own_square)
+        if len(self.rows) > k:
+            close = self.squares - slack <= np.partition(self.squares + slack, k - 1)[k - 1]
+            self.rows = self.rows[close]
+        far = distances(self.index.x[self.rows], self.q)
+        at = np.lexsort((self.index.ids[self.rows], far))[:k]
+        return self.rows[at], far[at]
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -87,9 +130,10 @@ def nearest_neighbours(vectors: DataFrame, queries, k: int = 10) -> DataFrame:
         out = []
         if len(s) and len(q):
             ids, index = s["vec_id"].to_numpy(), Index(matrix(s["vec"]), s["vec_id"].to_numpy())
-            for own, x in zip(q["vec_id"], matrix(q["vec"])):
-                rows, far = index.nearest(x, own, k)
-                out += [(own, ids[r], d) for r, d in zip(rows, far)]
+            asked, x = q["vec_id"].to_numpy(), matrix(q["vec"])
+            for i in range(0, len(q), TOGETHER):
+                for own, (rows, far) in zip(asked[i : i + TOGETHER], index.nearest(x[i : i + TOGETHER], asked[i : i + TOGETHER], k)):
+                    out += [(own, ids[r], d) for r, d in zip(rows, far)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = base.unionByName(ask).repartition(blocks * batches, "dim", "block", "batch").groupBy("dim", "block", "batch").applyInPandas(search, "query_id long, vec_id long, score double")
