@@ -18,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,14 +27,18 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, saved, table
 from .files import read_bytes, write_bytes
-from .words import batches
+from .words import ranges
 
 MAGIC = b"CFPLANE1"
 BLOCK = 65_536
 #: Documents of one file, about.
 DOCS_A_FILE = 4_000
-#: Different words that an encoder remembers before it starts anew, and characters of text that it takes at a time.
-WORDS_KEPT, CHARS = 400_000, 1_000_000
+#: Different words that an encoder remembers before it starts anew, and bytes of text that it takes at a time.
+WORDS_KEPT, CHARS = 800_000, 4_000_000
+#: New words that are encoded in one run.
+RUN = 20_000
+#: White space, Unicode's too, as RE2 writes it.
+WHITE = r"[\p{Z}\t-\r\x1c-\x1f\x{85}]"
 #: How a byte-level BPE writes a space.
 SPACE = "\u0120"
 
@@ -54,7 +60,7 @@ class Encoder:
 
     A space that stands before another character begins a new pre-token of a byte-level BPE, so a text may be cut
     before its spaces and the parts encoded alone. Texts with longer runs of white space around a space, or with the
-    text of an added token, are encoded whole. New parts are encoded in one run: no token but a part's first begins
+    text of an added token, are encoded whole. New parts are encoded in runs: no token but a part's first begins
     with a space.
     """
 
@@ -64,7 +70,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s \s", r"\s\s\Z", "\0", *map(re.escape, added)]))
+        self.whole = "|".join([f"{WHITE} {WHITE}", f"{WHITE}{{2}}\\z", r"\x00", *map(re.escape, added)])
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
@@ -84,11 +90,13 @@ class Encoder:
         self.codes[side].fresh.clear()
 
     def _learn_fresh(self):
-        later, first = (c.fresh for c in self.codes)
-        if later:
-            ids = self._ids(" " + " ".join(later))
+        (later, first), learnt = (c.fresh for c in self.codes), []
+        for i in range(0, len(later), RUN):
+            ids = self._ids(" " + " ".join(later[i : i + RUN]))
             at = np.flatnonzero(self.begins[ids])
-            self._learn(0, np.diff(np.append(at, len(ids))), ids)
+            learnt.append((np.diff(np.append(at, len(ids))), ids))
+        if learnt:
+            self._learn(0, *map(np.concatenate, zip(*learnt)))
         if first:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
             self._learn(1, np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.uint32))
@@ -100,32 +108,34 @@ class Encoder:
         ends = np.cumsum(n)
         return n, flat[np.arange(n.sum()) + np.repeat(starts - (ends - n), n)]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Arrow splits the texts and finds their different parts; only those are looked up one by one."""
         if sum(map(len, self.codes)) > WORDS_KEPT:
             self._forget()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         later, first = (c.__getitem__ for c in self.codes)
         out: list = [np.zeros(0, np.uint32)] * len(texts)
-        cut, heads, tails = [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if self.whole.search(t):
-                out[i] = self._ids(t)
-                continue
-            head, *rest = t.split(" ")
-            cut.append(i)
-            heads.append(first(head) if head else -1)
-            tails.append(np.fromiter(map(later, rest), np.int64, len(rest)))
-        if not cut:
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._ids(texts[i].as_py())
+        cut = np.flatnonzero(~whole & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+        if not len(cut):
             return out
+        split = pc.split_pattern(texts.take(pa.array(cut)), " ")
+        counts, parts = pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten()
+        at = np.cumsum(counts) - counts
+        heads = np.array([first(h) if h else -1 for h in parts.take(pa.array(at)).to_pylist()])
+        others = np.ones(len(parts), bool)
+        others[at] = False
+        rest = parts.filter(pa.array(others)).dictionary_encode()
+        tails = np.fromiter(map(later, rest.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(rest.dictionary))[rest.indices.to_numpy()]
         self._learn_fresh()
-        n, ids = self._spread(0, np.concatenate(tails))
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(x) for x in tails])]
-        heads = np.array(heads)
+        n, ids = self._spread(0, tails)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts - 1)])]
         head_n = np.zeros(len(heads), np.int64)
         head_n[heads >= 0], head_ids = self._spread(1, heads[heads >= 0])
         head_ends = np.concatenate([[0], np.cumsum(head_n)])
-        for k, i in enumerate(cut):
+        for k, i in enumerate(cut.tolist()):
             out[i] = np.concatenate([head_ids[head_ends[k] : head_ends[k + 1]], ids[ends[k] : ends[k + 1]]])
         return out
 
@@ -234,23 +244,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     files = max(1, -(-d.count() // DOCS_A_FILE))
     d = d.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    d = d.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
-
     def write(it):
         out, n, k = FileWriter(bits), 0, 0
         for f in it:
-            texts, ids = f["text"].tolist(), f["doc_id"].astype(object).where(f["doc_id"].notna(), None).tolist()
-            for a, b in batches(texts, CHARS):
-                for doc_id, x in zip(ids[a:b], encoder(tokenizer).encode(texts[a:b])):
+            texts, ids = f.column("text"), f.column("doc_id").to_pylist()
+            for a, b in ranges(pc.binary_length(texts).to_pylist(), CHARS):
+                for doc_id, x in zip(ids[a:b], encoder(tokenizer).encode(texts.slice(a, b - a))):
                     x = np.append(x, np.uint32(end_id))
-                    out.add(None if doc_id is None else int(doc_id), x)
+                    out.add(doc_id, x)
                     n, k = n + len(x), k + 1
         if k:
             shard = TaskContext.get().partitionId()
             write_bytes(file_of(folder, shard), out.close())
-            yield pd.DataFrame({"shard": [shard], "docs": [k], "n_tokens": [n]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [k], "n_tokens": [n]})
 
-    return saved(d.mapInPandas(write, "shard long, docs long, n_tokens long"), "manifest")
+    return saved(d.mapInArrow(write, "shard long, docs long, n_tokens long"), "manifest")
 
 
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:

@@ -98,13 +98,17 @@ def crc_of_id(doc_id) -> int:
 
 
 def batches(texts, limit: int = 4_000_000):
-    """(first, last) row ranges whose texts together have about `limit` bytes; a longer text is alone."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if size and size + n > limit:
+    """(first, last) row ranges whose texts together have about `limit` characters; a longer text is alone."""
+    return ranges([len(t) if t is not None else 0 for t in texts], limit)
+
+
+def ranges(sizes, limit: int):
+    """(first, last) ranges of about `limit` in sum; a larger size is alone."""
+    a = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield a, i
-            a, size = i, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
