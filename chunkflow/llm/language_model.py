@@ -1,14 +1,17 @@
 """Language-model scoring with an Elias-Fano n-gram trie in memory-mapped files.
 
-Order 2. The first level holds all training tokens: their hashes, sorted, and counts; a token's id is its place. The
-second level is cut into shards by a hash of the n-gram, so a frequent context is spread over all of them. A shard
-holds the ids of its contexts, monotone pointers to their children, the children's ids made monotone by adding the
-context's place times the number of tokens, all three in Elias-Fano form, and quantised smoothed probabilities.
-
-    P(w)     = (c(w) + 1) / (N + V + 1)
-    P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU)
-
-The second is Dirichlet smoothing, so an absent n-gram costs MU / (c(v) + MU) * P(w) and needs the context's count only.
+The first level holds all training tokens: their hashes, sorted, and counts; a token's id is its place. Every further
+level up to the order is cut into shards by a hash of the n-gram, so a frequent context is spread over all of them; an
+n-gram's place is its index in its shard after the n-grams of the shards before. A shard holds the places of its
+contexts on the level before, monotone pointers to their children, the children's ids made monotone by adding the
+context's index times the number of tokens, all three in Elias-Fano form, quantised smoothed probabilities, and counts.
+
+    P(w)         = (c(w) + 1) / (N + V + 1)
+    P(w | v)     = (c(v w) + MU * P(w)) / (c(v) + MU)
+    P(w | u v)   = (c(u v w) + MU * P(w | v)) / (c(u v) + MU)      and so on
+
+This is Dirichlet smoothing, so an absent n-gram costs MU / (c(context) + MU) times the shorter one's probability and
+needs the context's count only; an absent context costs nothing.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from .elias_fano import Sequence, build
 from .files import mapped, pack, unpack, write_bytes
 
 MU = 100.0
+#: Words of the longest n-grams of the registered query.
+ORDER = 3
 #: Steps of log10 probability.
 QUANTUM = 1 / 2048
 #: Characters of training text for each shard, and of text that a task counts before it passes counts on.
 SHARD_CHARS, FLUSH_CHARS = 32_000_000, 24_000_000
+#: N-grams whose probabilities are worked out at a time.
+STEP = 500_000
 #: Hash of the end token; word hashes that happen to equal it are moved by one.
 END = np.uint64(0)
 
@@ -135,33 +142,38 @@ class Tokens:
         return ids, counts
 
 
-class Pairs:
-    """One shard of the second level."""
+class Grams:
+    """One shard of a level above the first."""
 
     def __init__(self, uri: str, size: int):
         arrays = unpack(mapped(uri))
         self.contexts, self.pointers, self.children = (Sequence(arrays, x) for x in ("contexts", "pointers", "children"))
-        self.logs, self.size = arrays["logs"], size
+        self.logs, self.counts, self.size = arrays["logs"], arrays["counts"], size
 
     @staticmethod
-    def build(keys: np.ndarray, logs: np.ndarray, size: int) -> bytes:
+    def build(keys: np.ndarray, counts: np.ndarray, logs: np.ndarray, size: int, above: int) -> bytes:
+        """keys: place of the context (of `above` places) times the number of tokens, plus the token's id; sorted."""
         v, w = (keys // np.uint64(size)).astype(np.int64), (keys % np.uint64(size)).astype(np.int64)
         contexts, first = np.unique(v, return_index=True)
         place = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(v))))
-        arrays = build(contexts, size, "contexts") | build(np.append(first, len(v)), len(v) + 1, "pointers") | build(place * size + w, max(1, len(contexts) * size), "children")
-        return pack(arrays | {"logs": np.minimum(np.rint(-logs / QUANTUM), 65535).astype(np.uint16)})
+        arrays = build(contexts, above, "contexts") | build(np.append(first, len(v)), len(v) + 1, "pointers") | build(place * size + w, max(1, len(contexts) * size), "children")
+        return pack(arrays | {"logs": np.minimum(np.rint(-logs / QUANTUM), 65535).astype(np.uint16), "counts": counts.astype(np.uint32)})
 
     def look(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | v), NaN where the shard has no such pair."""
-        out = np.full(len(v), np.nan)
+        """Index of the n-gram of context v and token w, -1 where the shard has none."""
+        out = np.full(len(v), -1, np.int64)
         different, back = np.unique(v, return_inverse=True)
         context = self.contexts.find(different)[back]
         known = np.flatnonzero(context >= 0)
-        at = self.children.find(context[known] * self.size + w[known])
-        hit = at >= 0
-        out[known[hit]] = self.logs[at[hit]] * -QUANTUM
+        out[known] = self.children.find(context[known] * self.size + w[known])
         return out
 
+    def split(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and token of the n-grams at the indices."""
+        context, w = np.divmod(self.children.access(at), self.size)
+        different, back = np.unique(context, return_inverse=True)
+        return self.contexts.access(different)[back], w
+
     def followers(self, v: int) -> np.ndarray:
         """Ids that follow v in this shard: the range between two pointers."""
         c = self.contexts.find(np.array([v]))
@@ -172,11 +184,21 @@ class Pairs:
 
 
 class Model:
-    def __init__(self, folder: str, token_shards: int, pair_shards: int):
-        self.folder, self.pair_shards = folder, pair_shards
-        self.tokens = Tokens(folder, token_shards)
+    """The levels written so far; sizes: for each level above the first, the n-grams of every shard."""
+
+    def __init__(self, folder: str, shards: int, sizes: tuple[tuple[int, ...], ...]):
+        self.folder, self.shards = folder, shards
+        self.tokens = Tokens(folder, shards)
         self.size, self.total = int(self.tokens.base[-1]), self.tokens.total
-        self._pairs: dict[int, Pairs] = {}
+        self.bases = [np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for n in sizes]
+        self._grams: dict[tuple[int, int], Grams] = {}
+
+    @property
+    def order(self) -> int:
+        return len(self.bases) + 1
+
+    def places(self, level: int) -> int:
+        return self.size if level == 1 else int(self.bases[level - 2][-1])
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         different, back = np.unique(h, return_inverse=True)
@@ -186,10 +208,89 @@ class Model:
     def log_unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + self.size + 1))
 
-    def pairs(self, shard: int) -> Pairs:
-        if shard not in self._pairs:
-            self._pairs[shard] = Pairs(f"{self.folder}/pairs-{shard:06d}.bin", self.size)
-        return self._pairs[shard]
+    def grams(self, level: int, shard: int) -> Grams:
+        if (level, shard) not in self._grams:
+            self._grams[level, shard] = Grams(f"{self.folder}/grams{level}-{shard:06d}.bin", self.size)
+        return self._grams[level, shard]
+
+    def look(self, level: int, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place (-1 if unknown), count and log10 P of the n-grams of contexts v and tokens w."""
+        keys, back = np.unique(v * self.size + w, return_inverse=True)
+        shard = _hash_shard(words.mix(keys.astype(np.uint64)), self.shards)
+        places, counts, logs = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            mine, g = order[cuts[s] : cuts[s + 1]], self.grams(level, s)
+            at = g.look(keys[mine] // self.size, keys[mine] % self.size)
+            mine, at = mine[at >= 0], at[at >= 0]
+            places[mine], counts[mine], logs[mine] = at + self.bases[level - 2][s], g.counts[at], g.logs[at] * -QUANTUM
+        return places[back], counts[back], logs[back]
+
+    def split(self, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the context on the level before, and token, of each n-gram."""
+        v, w = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+        shard = np.searchsorted(self.bases[level - 2], places, "right") - 1
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[s] : cuts[s + 1]]
+            v[mine], w[mine] = self.grams(level, s).split(places[mine] - self.bases[level - 2][s])
+        return v, w
+
+    def chance(self, level: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """P of training n-grams (context, token, count) of a level, from the counts of this and shorter n-grams."""
+        token = np.concatenate([p["count"] for p in self.tokens.parts])
+        spelt, at = [w], v
+        for k in range(level - 1, 1, -1):
+            at, last = self.split(k, at)
+            spelt.append(last)
+        spelt = [at, *spelt[::-1]]
+        p = (token[w] + 1) / (self.total + self.size + 1)
+        for k in range(2, level):  # the last k words
+            place, n = spelt[level - k], token[spelt[level - k]]
+            for j in range(2, k + 1):
+                above = n
+                place, n, _ = self.look(j, place, spelt[level - k + j - 1])
+            p = (n + MU * p) / (above + MU)
+        above = token[v] if level == 2 else self.counts_of(level - 1, v)
+        return (counts + MU * p) / (above + MU)
+
+    def counts_of(self, level: int, places: np.ndarray) -> np.ndarray:
+        out = np.empty(len(places), np.int64)
+        shard = np.searchsorted(self.bases[level - 2], places, "right") - 1
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            out[mine] = self.grams(level, s).counts[places[mine] - self.bases[level - 2][s]]
+        return out
+
+    def levels(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray):
+        """For each level above the first: positions, places and counts of their contexts, what is found of their n-grams."""
+        before = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+        place, count = ids, counts
+        for level in range(2, self.order + 1):
+            after = np.flatnonzero(before >= level - 1)
+            v, c = place[after - 1], count[after - 1]
+            both = np.flatnonzero((v >= 0) & (ids[after] >= 0))
+            found, n, logs = self.look(level, v[both], ids[after[both]])
+            place, count = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+            place[after[both]], count[after[both]] = found, n
+            hit = found >= 0
+            yield after, v, c, after[both[hit]], logs[hit]
+
+    def keys(self, texts) -> np.ndarray:
+        """Keys, on the level after the last, of all n-grams of training texts."""
+        h, offsets = tokens(texts)
+        ids, counts = self.ids(h)
+        before = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+        place = ids
+        for level in range(2, self.order + 1):
+            after = np.flatnonzero(before >= level - 1)
+            at = np.full(len(ids), -1, np.int64)
+            at[after] = self.look(level, place[after - 1], ids[after])[0]
+            place = at
+        after = np.flatnonzero(before >= self.order)
+        return (place[after - 1] * self.size + ids[after]).astype(np.uint64)
 
     def score(self, texts) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
@@ -197,21 +298,9 @@ class Model:
         ids, counts = self.ids(h)
         single = self.log_unigram(counts)
         full = single.copy()
-        starts = np.zeros(len(h), bool)
-        starts[offsets[:-1]] = True
-        after = np.flatnonzero(~starts)
-        v, c = ids[after - 1], counts[after - 1]
-        full[after] += np.where(v >= 0, np.log10(MU / (c + MU)), 0)
-        both = after[(v >= 0) & (ids[after] >= 0)]
-        if len(both):
-            keys, back = np.unique(ids[both - 1] * self.size + ids[both], return_inverse=True)
-            shard = _hash_shard(words.mix(keys.astype(np.uint64)), self.pair_shards)
-            got = np.full(len(keys), np.nan)
-            for s in np.unique(shard):
-                mine = np.flatnonzero(shard == s)
-                got[mine] = self.pairs(int(s)).look(keys[mine] // self.size, keys[mine] % self.size)
-            got = got[back]
-            full[both[~np.isnan(got)]] = got[~np.isnan(got)]
+        for after, v, c, hit, logs in self.levels(ids, counts, offsets):
+            full[after] += np.where(v >= 0, np.log10(MU / (c + MU)), 0)
+            full[hit] = logs
         add = lambda x: np.add.reduceat(x, offsets[:-1]) if len(texts) else x[:0]
         return np.diff(offsets), add((counts > 0).astype(np.int64)), add(single), add(full)
 
@@ -219,16 +308,16 @@ class Model:
 _MODELS: dict[tuple, Model] = {}
 
 
-def model(folder: str, token_shards: int, pair_shards: int) -> Model:
+def model(folder: str, shards: int, sizes: tuple[tuple[int, ...], ...]) -> Model:
     """Opened once by a Python worker."""
-    key = (folder, token_shards, pair_shards)
+    key = (folder, shards, sizes)
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(*key)
     return _MODELS[key]
 
 
-def train(docs: DataFrame, folder: str) -> tuple[str, int, int]:
+def train(docs: DataFrame, folder: str, order: int) -> tuple[str, int, tuple[tuple[int, ...], ...]]:
     """Counts all texts of docs and writes the model's files to the shared folder; returns what model() takes."""
     texts = docs.select("text")
     shards = 1 + int((texts.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS)
@@ -242,32 +331,32 @@ def train(docs: DataFrame, folder: str) -> tuple[str, int, int]:
     empty = np.zeros(0, np.int64)
     for s in set(range(shards)) - made:
         write_bytes(f"{folder}/tokens-{s:06d}.bin", pack({"hash": empty.astype(np.uint64), "count": empty, "total": np.zeros(1, np.int64)}))
+    trained = folder, shards, ()
+    for _ in range(2, order + 1):
+        trained = _next_level(texts, *trained)
+    return trained
+
 
-    def pair_keys(t):
-        m = model(folder, shards, shards)
-        h, offsets = tokens(t)
-        ids = m.ids(h)[0]
-        inside = np.ones(len(ids), bool)
-        inside[offsets[:-1]] = False
-        at = np.flatnonzero(inside)
-        return (ids[at - 1] * m.size + ids[at]).astype(np.uint64)
-
-    def write_pairs(shard, keys, counts):
-        m = model(folder, shards, shards)
-        count = np.concatenate([p["count"] for p in m.tokens.parts])
+def _next_level(texts: DataFrame, folder: str, shards: int, sizes: tuple) -> tuple[str, int, tuple]:
+    """Writes the level after those of sizes."""
+    level = len(sizes) + 2
+
+    def write(shard, keys, counts):
+        m = model(folder, shards, sizes)
         v, w = (keys // np.uint64(m.size)).astype(np.int64), (keys % np.uint64(m.size)).astype(np.int64)
-        p = (counts + MU * (count[w] + 1) / (m.total + m.size + 1)) / (count[v] + MU)
-        write_bytes(f"{folder}/pairs-{shard:06d}.bin", Pairs.build(keys, np.log10(p), m.size))
+        logs = [np.log10(m.chance(level, v[i : i + STEP], w[i : i + STEP], counts[i : i + STEP])) for i in range(0, len(keys), STEP)]
+        write_bytes(f"{folder}/grams{level}-{shard:06d}.bin", Grams.build(keys, counts, np.concatenate(logs), m.size, m.places(level - 1)))
         return shard, len(keys)
 
-    twice = texts.mapInArrow(_counter(pair_keys, lambda k: _hash_shard(words.mix(k), shards)), "shard long, blob binary")
-    made = {r[0] for r in _reduced(twice, write_pairs, "shard long, n long").collect()}
-    for s in set(range(shards)) - made:
-        write_bytes(f"{folder}/pairs-{s:06d}.bin", Pairs.build(empty.astype(np.uint64), empty.astype(float), 1))
-    return folder, shards, shards
+    counted = texts.mapInArrow(_counter(lambda t: model(folder, shards, sizes).keys(t), lambda k: _hash_shard(words.mix(k), shards)), "shard long, blob binary")
+    made = dict(tuple(r) for r in _reduced(counted, write, "shard long, n long").where("n > 0").collect())
+    empty = np.zeros(0, np.int64)
+    for s in set(range(shards)) - set(made):
+        write_bytes(f"{folder}/grams{level}-{s:06d}.bin", Grams.build(empty.astype(np.uint64), empty, empty.astype(float), 1, 1))
+    return folder, shards, (*sizes, tuple(made.get(s, 0) for s in range(shards)))
 
 
-def score_documents(docs: DataFrame, trained: tuple[str, int, int]) -> DataFrame:
+def score_documents(docs: DataFrame, trained: tuple[str, int, tuple]) -> DataFrame:
     """doc_id, held (as given), n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -283,17 +372,17 @@ def score_documents(docs: DataFrame, trained: tuple[str, int, int]) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def language_model_scores(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
-    """Scores every text with a model of the texts whose crc32(doc_id as text) modulo `mod` is not `held`.
+def language_model_scores(docs: DataFrame, mod: int = 7, held: int = 2, order: int = 2) -> DataFrame:
+    """Scores every text with a model of order `order` of the texts whose crc32(doc_id as text) modulo `mod` is not `held`.
 
     Null texts are empty: one token, the end. Null ids are not held out and not learnt from. Repeated rows are learnt
     from and scored as often as they occur. Without training rows every token has probability 1 / (N + V + 1) = 1.
     Other columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    trained = train(d.where("doc_id is not null and not held_out"), new_folder(docs.sparkSession, "language-model"))
+    trained = train(d.where("doc_id is not null and not held_out"), new_folder(docs.sparkSession, "language-model"), order)
     return score_documents(d, trained)
 
 
 def op6_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
-    return language_model_scores(table(spark, sf_dir, "documents"))
+    return language_model_scores(table(spark, sf_dir, "documents"), order=ORDER)

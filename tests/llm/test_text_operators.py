@@ -189,3 +189,26 @@ def test_language_model_scores(spark):
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score / r.n_tokens, 2)) for r in got) == want
     empty = language_model.language_model_scores(df.limit(0))
     assert empty.collect() == []
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_longer_contexts(spark, order, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_CHARS", 3_000)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", f"r{rng.randrange(20)}"]) for _ in range(rng.randrange(50)))) for i in range(150)] + [(500, None), (501, "a"), (502, "zz a b c"), (None, "a b")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    toks = [split(t) + [None] for _, t in rows]
+    c = collections.Counter(tuple(t[j : j + k]) for (i, _), t in zip(rows, toks) if i is not None and not held(i) for k in range(1, order + 1) for j in range(len(t) - k + 1))
+    n, v, mu = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c), language_model.MU
+
+    def p(g):
+        return (c[g] + 1) / (n + v + 1) if len(g) == 1 else (c[g] + mu * p(g[1:])) / (c[g[:-1]] + mu)
+
+    want = collections.Counter((i, len(t), round(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j + 1]))) for j in range(len(t))) / len(t), 2)) for (i, _), t in zip(rows, toks))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = language_model.language_model_scores(df, order=order).collect()
+    near = {(r.doc_id, r.n_tokens): r.score / r.n_tokens for r in got}
+    assert len(got) == len(rows) and all(abs(near[i, k] - x) < 0.0055 for i, k, x in want)
+    pairs = {r.doc_id: r.score for r in language_model.language_model_scores(df).collect()}
+    assert any(abs(pairs[r.doc_id] - r.score) > 0.05 for r in got)
+    assert language_model.language_model_scores(df.limit(0), order=order).collect() == []
