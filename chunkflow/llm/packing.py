@@ -1,7 +1,7 @@
 """Packing documents into bins of fixed capacity: best fit under conflicts.
 
 No bin holds two documents of one source or two of one cluster of duplicates. Documents are dealt into groups by a
-hash; each group is packed by itself, larger documents first. Open bins are kept by residual, and bins of one residual
+hash, or by ranges of the slots of a mix; each group is packed by itself, larger documents first. Open bins are kept by residual, and bins of one residual
 by the bitmap of their sources (and of the group's frequent clusters); a bitmap of its repeated clusters goes with each
 bin. The search takes the successor of the document's size among the residuals and goes on until a bin is compatible,
 so the bin found is the tightest compatible one.
@@ -13,13 +13,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
 #: Tokens a bin holds, bytes a token (estimate), documents of a group.
 CAPACITY, TOKEN_BYTES, GROUP = 2_048, 4, 8_000
+#: Slots of a mix whose documents are never dealt to different groups; a slot holds a few documents.
+SLOTS = 1_000
 #: A cluster with so many documents in a group is part of the key by which bins are looked up.
 FREQUENT = 32
 
@@ -96,6 +98,13 @@ def pack_group(sizes: list[int], sources: list, clusters: list, capacity: int) -
     return out
 
 
+def estimated(docs: DataFrame, cluster: Column | None = None) -> DataFrame:
+    """What packing needs of each document: doc_id, source, cluster and n, by the size of the text."""
+    cluster = F.xxhash64("text") if cluster is None else cluster
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text != "", cluster).cast("string").alias("cluster"), (F.ceil(F.octet_length(text) / TOKEN_BYTES) + 1).cast("long").alias("n"))
+
+
 def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, n_tokens, bin, offset.
 
@@ -104,12 +113,24 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
     text is the end token alone and is in no cluster; a null source conflicts with none. Rows that repeat an id are
     packed each. Null ids are packed. Other columns are ignored.
     """
-    cluster = F.xxhash64("text") if cluster is None else cluster
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text != "", cluster).cast("string").alias("cluster"), (F.ceil(F.octet_length(text) / TOKEN_BYTES) + 1).cast("long").alias("n"))
-    d = saved(d, "sizes")
-    groups = max(1, -(-d.count() // GROUP))
-    d = d.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(groups)))
+    return pack_sized(saved(estimated(docs, cluster), "sizes"), capacity)
+
+
+def pack_sized(rows: DataFrame, capacity: int = CAPACITY, slot: str | None = None) -> DataFrame:
+    """Like pack(), of rows (doc_id, source, cluster, n) with n tokens each.
+
+    slot: the column that holds the documents' slots in a mix. Groups are then ranges of slots, about GROUP documents
+    each, and bins are numbered in the order of their first slots, so that reading bin by bin follows the mix.
+    """
+    d = rows.select("doc_id", "source", "cluster", "n", (F.lit(0) if slot is None else F.coalesce(slot, F.lit(0))).cast("long").alias("slot"))
+    if slot is None:
+        groups = max(1, -(-d.count() // GROUP))
+        d = d.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(groups)))
+    else:
+        d = saved(d.withColumn("part", F.floor(F.col("slot") / SLOTS)), "slots")
+        before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = d.groupBy("part").count().select("part", F.floor(before / GROUP).alias("grp"))  # a row for about GROUP documents
+        d = d.join(parts, "part").drop("part")
     d = d.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
 
     def run(key, f):
@@ -122,7 +143,12 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
         order = np.lexsort((row, -size))
         take = lambda c: f[c].astype(object).where(f[c].notna(), None).to_numpy()[row][order].tolist()
         placed = pack_group(size[order].tolist(), take("source"), take("cluster"), capacity)
-        return pd.DataFrame({"doc_id": pd.array([x if x is None else int(x) for x in take("doc_id")], "Int64"), "piece": piece[order], "n_tokens": size[order], "bin": [int(key[0]) * 2**32 + b for b, _ in placed], "offset": [o for _, o in placed]})
+        bins = np.array([b for b, _ in placed], np.int64)
+        if slot is not None:
+            first = np.full(bins.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, bins, f["slot"].to_numpy()[row][order])
+            bins = np.argsort(np.argsort(first, kind="stable"))[bins]
+        return pd.DataFrame({"doc_id": pd.array([x if x is None else int(x) for x in take("doc_id")], "Int64"), "piece": piece[order], "n_tokens": size[order], "bin": int(key[0]) * 2**32 + bins, "offset": [o for _, o in placed]})
 
     return d.groupBy("grp").applyInPandas(run, "doc_id long, piece long, n_tokens long, bin long, offset long")
 

@@ -6,6 +6,8 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from test_text_operators import brute_groups, corpus
 
+from chunkflow.llm import packing
+
 
 def fixture(spark, tmp_path):
     rng = random.Random(11)
@@ -51,3 +53,25 @@ def test_stages(spark, tmp_path):
         named = [source[r.doc_id] for r in rows if source[r.doc_id] is not None]
         assert len(named) == len(set(named))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_packing_follows_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 400)
+    monkeypatch.setattr(packing, "SLOTS", 20)
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(40 + i % 50)), "en", f"src{i % 8}", 9) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {}
+    for name, weights in (("few", {"src0": 1}), ("many", {"src0": 9})):
+        monkeypatch.setattr(corpus_pipeline, "TARGETS", weights)
+        bins = corpus_pipeline.packing_stage(spark, docs, "").collect()
+        slot = {r.doc_id: r.mix_slot for r in corpus_pipeline.mix(docs, weights, "doc_id").collect()}
+        assert {r.doc_id for r in bins} == set(slot)
+        groups = {}
+        for r in bins:
+            groups.setdefault(r.bin >> 32, {}).setdefault(r.bin, []).append(slot[r.doc_id])
+        assert len(groups) > 2
+        ends = [(min(map(min, g.values())), max(map(max, g.values()))) for _, g in sorted(groups.items())]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+        assert all([min(s) for _, s in sorted(g.items())] == sorted(min(s) for s in g.values()) for g in groups.values())
+        found[name] = sum(r.doc_id % 8 == 0 for r in bins if r.bin >> 32 == min(groups)), {(r.doc_id, r.piece, r.bin) for r in bins}
+    assert found["many"][0] >= 2 * found["few"][0] > 0 and found["many"][1] != found["few"][1]
