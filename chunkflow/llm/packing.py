@@ -1,6 +1,6 @@
 """Packing documents into bins of fixed capacity: best fit under conflicts.
 
-No bin holds two documents of one source or two of one cluster of duplicates. Documents are dealt into groups by a
+No bin holds two documents of one source or two of one cluster of near copies. Documents are dealt into groups by a
 hash, or by ranges of the slots of a mix; each group is packed by itself, larger documents first. Open bins are kept by residual, and bins of one residual
 by the bitmap of their sources (and of the group's frequent clusters); a bitmap of its repeated clusters goes with each
 bin. The search takes the successor of the document's size among the residuals and goes on until a bin is compatible,
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
+from .near_dup import near_duplicates
 
 #: Tokens a bin holds, bytes a token (estimate), documents of a group.
 CAPACITY, TOKEN_BYTES, GROUP = 2_048, 4, 8_000
@@ -153,5 +154,18 @@ def pack_sized(rows: DataFrame, capacity: int = CAPACITY, slot: str | None = Non
     return d.groupBy("grp").applyInPandas(run, "doc_id long, piece long, n_tokens long, bin long, offset long")
 
 
+def with_near_copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, text) with near_copies: the near-duplicate component, as text; equal texts where there are no words.
+
+    Rows are told apart by id and text, so that null ids and repeated ids are compared too.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component")).distinct()
+    other = F.concat(F.lit("="), F.xxhash64("text").cast("string"))
+    d = docs.withColumn("_key", key).join(found, "_key", "left")
+    return d.withColumn("near_copies", F.coalesce(F.concat(F.lit("~"), F.col("_component").cast("string")), other)).drop("_key", "_component")
+
+
 def op2_conflict_best_fit(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(with_near_copies(table(spark, sf_dir, "documents")), F.col("near_copies"))

@@ -192,3 +192,18 @@ def test_classifiers(spark, kind):
     none = f(docs, labels.limit(0)).toPandas()
     assert len(none) == len(got)
     assert f(docs.limit(0), labels).collect() == []
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    words = [[f"{c}{k}" for k in range(80)] for c in "abcdefgh"]
+    rows = [(100 * g + i, " ".join(w if k != i else f"new{i}" for k, w in enumerate(ws)), None if i % 2 else f"s{i}") for g, ws in enumerate(words) for i in (0, 20, 39)]
+    rows += [(None, " ".join(words[0]), None), (7, " ".join(words[1]) + " z", "q"), (7, "other words", "q"), (1000, " \n", "x"), (1001, " \n", "y"), (1002, "", "x"), (1003, None, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_conflict_best_fit"](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    bins = defaultdict(set)
+    for r in got:
+        bins[r.doc_id].add(r.bin)
+    for g in range(8):
+        assert len(set.union(*(bins[100 * g + i] for i in (0, 20, 39)))) == 3
+    assert len(set.union(bins[None], bins[0], bins[20], bins[39])) == 4 and not bins[1000] & bins[1001]
