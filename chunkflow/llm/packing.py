@@ -13,13 +13,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 from .near_dup import near_duplicates
+from .token_files import CHARS, encoder
+from .words import ranges
 
-#: Tokens a bin holds, bytes a token (estimate), documents of a group.
+#: Tokens a bin holds, bytes a token (where pack() estimates), documents of a group.
 CAPACITY, TOKEN_BYTES, GROUP = 2_048, 4, 8_000
 #: Slots of a mix whose documents are never dealt to different groups; a slot holds a few documents.
 SLOTS = 1_000
@@ -154,6 +158,25 @@ def pack_sized(rows: DataFrame, capacity: int = CAPACITY, slot: str | None = Non
     return d.groupBy("grp").applyInPandas(run, "doc_id long, piece long, n_tokens long, bin long, offset long")
 
 
+def counted(docs: DataFrame, cluster: Column, tokenizer: str | None = None) -> DataFrame:
+    """Like estimated(), with n counted: the ids of the whole text, as write_token_files() writes them, and the end id."""
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text != "", cluster).cast("string").alias("cluster"), text.alias("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("cluster", pa.string()), ("n", pa.int64())])
+
+    def run(it):
+        for batch in it:
+            texts = batch.column(3)
+            for a, b in ranges(pc.binary_length(texts).to_pylist(), CHARS):
+                n = pa.array([len(x) + 1 for x in encoder(path).encode(texts.slice(a, b - a))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), n], schema=schema)
+
+    return d.mapInArrow(run, "doc_id long, source string, cluster string, n long")
+
+
 def with_near_copies(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, text) with near_copies: the near-duplicate component, as text; equal texts where there are no words.
 
@@ -168,4 +191,4 @@ def with_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op2_conflict_best_fit(spark, sf_dir: str) -> DataFrame:
-    return pack(with_near_copies(table(spark, sf_dir, "documents")), F.col("near_copies"))
+    return pack_sized(saved(counted(with_near_copies(table(spark, sf_dir, "documents")), F.col("near_copies")), "sizes"))

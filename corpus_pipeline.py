@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chunkflow.llm.common import saved, table
 from chunkflow.llm.mixing import TARGETS, mix, written_order
 from chunkflow.llm.near_dup import near_duplicates
-from chunkflow.llm.packing import estimated, pack_sized, with_near_copies
+from chunkflow.llm.packing import counted, pack_sized, with_near_copies
 from chunkflow.llm.pii import replace_pii
 from chunkflow.llm.quality import keep_good
 
@@ -39,7 +39,7 @@ def mixing_stage(spark, docs, sf_dir):
 
 def packing_stage(spark, docs, sf_dir):
     """Packs the documents into bins that follow the mix; its slots are worked out again, as stages pass documents alone."""
-    return pack_sized(mix(saved(estimated(with_near_copies(docs), F.col("near_copies")), "sizes"), TARGETS, "doc_id"), slot="mix_slot")
+    return pack_sized(mix(saved(counted(with_near_copies(docs), F.col("near_copies")), "sizes"), TARGETS, "doc_id"), slot="mix_slot")
 
 
 STAGES = [

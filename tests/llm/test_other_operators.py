@@ -207,3 +207,19 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     for g in range(8):
         assert len(set.union(*(bins[100 * g + i] for i in (0, 20, 39)))) == 3
     assert len(set.union(bins[None], bins[0], bins[20], bins[39])) == 4 and not bins[1000] & bins[1001]
+
+
+def test_packed_sizes_are_token_counts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "Žluťoučký kůň " * 900, "a"), (2, None, "b"), (3, "", "c"), (4, "hello world", "d"), (5, "日本語テキスト " * 700, "e")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in QUERIES["op2_conflict_best_fit"](spark, str(tmp_path)).orderBy("doc_id", "piece").collect():
+        assert r.offset + r.n_tokens <= packing.CAPACITY
+        got[r.doc_id].append(r.n_tokens)
+    for i, t, _ in rows:
+        n = len(plain.encode(t or "", add_special_tokens=False).ids) + 1
+        assert sum(got[i]) == n and all(x == packing.CAPACITY for x in got[i][:-1])
