@@ -1,6 +1,6 @@
 """Personal data: detected entities get keyed surrogates of the same type, script and format. DataFrame operations only.
 
-An entity is a kind and a normal form (lower case, or digits only), so that all spellings of one entity are replaced
+An entity is a kind and a normal form (lower case, or digits only, with the + of a phone), so that all spellings of one entity are replaced
 alike. The surrogate's core is drawn from a keyed hash of kind, normal form and attempt; rendering puts it into the
 format of the match: separators, case, country code, issuer digit and check digit of a card, title of a person. Titles
 give the gender of names, the name's own letters the script.
@@ -34,6 +34,9 @@ PATTERNS = {
 #: Starts only where no ASCII letter or digit stands before.
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
+#: A phone with a country code, in normal form.
+_CODE = r"\A\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+
 _CONSONANTS, _VOWELS = "bdfgklmnprstvz", "aeiou"
 _RU_CONSONANTS, _RU_VOWELS = "бвгдклмнпрст", "аеиоу"
 
@@ -70,7 +73,7 @@ def entities(m: Column) -> Column:
     def of(k: Column) -> Column:
         v = _value(k, m)
         numeric = k.isin("phone", "card", "ssn")
-        plain = F.concat(k, F.lit(":"), F.when(numeric, _digits(m)).when(k == "iban", F.regexp_replace(m, " ", "")).when(k.isin("secret", "key"), v).otherwise(F.lower(v)))
+        plain = F.concat(k, F.lit(":"), F.when(numeric, F.concat(F.when((k == "phone") & m.startswith("+"), "+").otherwise(""), _digits(m))).when(k == "iban", F.regexp_replace(m, " ", "")).when(k.isin("secret", "key"), v).otherwise(F.lower(v)))
         parts = F.split(v, " ")
         last = F.size(parts) - 1
         names = F.transform(parts, lambda w, i: F.concat(F.when(i == last, F.when(w.rlike("\\p{IsCyrillic}") & (_title(m) == "f"), "surname_f").otherwise("surname")).otherwise(F.concat(F.lit("given_"), _title(m))), F.lit(":"), F.lower(w)))
@@ -131,7 +134,8 @@ def core(entity: Column, attempt: Column, key: str = KEY) -> Column:
         email = F.concat(_like(local, h), F.lit("@"), host)
         ip = F.concat_ws(".", F.lit("10"), *((_nibbles(h, F.lit(k)) % 256).cast("string") for k in range(3)))
         card = let(F.concat(F.substr(value, F.lit(1), F.lit(1)), _numbers(h, 0, n - 2)), lambda d: F.concat(d, _luhn(d)))
-        phone = F.concat((_nibbles(h, F.lit(50)) % 8 + 2).cast("string"), _numbers(h, 0, n - 1))
+        code = F.regexp_extract(value, _CODE, 0)
+        phone = F.concat(code, (_nibbles(h, F.lit(50)) % 8 + 2).cast("string"), _numbers(h, 0, n - F.length(code) - 1))
         ssn = F.concat(F.lit("9"), _numbers(h, 0, n - 1))
         iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _like(F.substr(value, F.lit(3)), h))
         secret = F.when(value.rlike(r"\A[0-9a-fA-F]+\z"), _like(value, h, 6)).otherwise(_like(value, h))
@@ -158,11 +162,9 @@ def surrogate(m: Column, attempts: Column, key: str = KEY) -> Column:
     def of(k: Column, es: Column) -> Column:
         draw = lambda e: core(e, F.coalesce(F.try_element_at(attempts, e), F.lit(0)), key)
         v, new = _value(k, m), draw(es[0])
-        code = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"\A\+(\d{1,3})(?=[ .\-(])", 1))).otherwise(0)
-        phone = _poured(m, F.concat(F.substr(_digits(m), F.lit(1), code), F.substr(new, code + 1)))
         head = F.substr(m, F.lit(1), F.length(m) - F.length(v))
         names = F.array_join(F.zip_with(F.split(v, " "), es, lambda w, e: _cased(w, draw(e))), " ")
-        out = F.when(k == "phone", phone).when(k.isin("card", "ssn"), _poured(m, new)).when(k == "person", F.concat(head, names))
+        out = F.when(k.isin("phone", "card", "ssn"), _poured(m, _digits(new))).when(k == "person", F.concat(head, names))
         spaced = F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c, i: F.when(c == " ", " ").otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
         return out.when(k == "iban", spaced).when(k == "secret", F.concat(head, new)).otherwise(new)
 

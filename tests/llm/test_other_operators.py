@@ -223,3 +223,23 @@ def test_packed_sizes_are_token_counts(spark, tmp_path):
     for i, t, _ in rows:
         n = len(plain.encode(t or "", add_special_tokens=False).ids) + 1
         assert sum(got[i]) == n and all(x == packing.CAPACITY for x in got[i][:-1])
+
+
+def replaced(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.n_entities) for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+
+
+def test_phones_are_assigned_as_they_are_written(spark):
+    texts = ["+49 30 1234567", "+49301234567", "+1 555 123 4567", "+15551234567", "+1 655 123 4567"]
+    texts[0] = "+49 30 1234 567"
+    got = ["+" + re.sub(r"\D", "", t) for t, _ in replaced(spark, texts)]
+    assert got[0] == got[1] and got[0].startswith("+49") and got[2] == got[3] != got[4]
+    assert all(g.startswith("+1") and len(g) == 12 for g in got[2:])
+    found = [f"phone:+1{a}{b:04d}" for a in range(2, 10) for b in range(0, 1000, 9)]
+    df = spark.createDataFrame([(e,) for e in found], "entity string")
+    odd = {r.entity: r.attempt for r in pii.assigned(df).collect()}
+    final = spark.createDataFrame([("+1 " + e[8:10] + "-" + e[10:], e, {e: odd.get(e, 0)}) for e in found if len(e) == 13], "m string, e string, a map<string,int>")
+    out = [r.s for r in final.select(pii.surrogate(F.col("m"), F.col("a")).alias("s")).collect()]
+    written = {re.sub(r"[ -]", "", x) for x in out}
+    assert odd and len(out) == len(found) == len(written) and not written & {e[6:] for e in found}
