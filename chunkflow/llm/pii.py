@@ -27,7 +27,7 @@ PATTERNS = {
     "ip": r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\d)|\+\d{8,15}(?!\d)|\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|\d{3}[\-.]\d{3}[\-.]\d{4}(?!\d)",
-    "card": r"[3-6]\d{3}(?:[ \-]?\d{4}){2}(?:[ \-]?\d{1,4})(?![\d])|3\d{3}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
+    "card": r"(?:[3-6]\d{3}|222[1-9]|22[3-9]\d|2[3-6]\d{2}|27[01]\d|2720)(?:[ \-]?\d{4}){2}(?:[ \-]?\d{1,4})(?![\d])|3\d{3}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "person": rf"(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
@@ -77,7 +77,7 @@ def entities(m: Column) -> Column:
         parts = F.split(v, " ")
         last = F.size(parts) - 1
         names = F.transform(parts, lambda w, i: F.concat(F.when(i == last, F.when(w.rlike("\\p{IsCyrillic}") & (_title(m) == "f"), "surname_f").otherwise("surname")).otherwise(F.concat(F.lit("given_"), _title(m))), F.lit(":"), F.lower(w)))
-        return F.when(k == "person", names).otherwise(F.array(plain))
+        return F.when(k == "person", names).when((k == "card") & _is_number(m), F.array().cast("array<string>")).otherwise(F.array(plain))
 
     return let(kind_of(m), of)
 
@@ -99,6 +99,12 @@ def _luhn(d: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _is_number(m: Column) -> Column:
+    """Whether a match has the shape of a card and not its check digit: it is no entity and stays."""
+    d = _digits(m)
+    return m.rlike(rf"\A(?:{PATTERNS['card']})\z") & let(d, lambda d: _luhn(F.substr(d, F.lit(1), F.length(d) - 1)) != F.right(d, F.lit(1)))
+
+
 def _like(v: Column, h: Column, letters: int = 26) -> Column:
     """A digit for each digit, a letter of the same case for each ASCII letter, other characters as they are."""
 
@@ -133,7 +139,8 @@ def core(entity: Column, attempt: Column, key: str = KEY) -> Column:
         host = F.concat(_like(F.substring_index(domain, ".", 1), F.reverse(h)), F.lit(".example."), F.when(tld.isin("com", "org", "net"), tld).otherwise("org"))
         email = F.concat(_like(local, h), F.lit("@"), host)
         ip = F.concat_ws(".", F.lit("10"), *((_nibbles(h, F.lit(k)) % 256).cast("string") for k in range(3)))
-        card = let(F.concat(F.substr(value, F.lit(1), F.lit(1)), _numbers(h, 0, n - 2)), lambda d: F.concat(d, _luhn(d)))
+        issuer = F.when(value.startswith("2"), F.concat(F.lit("2"), (_nibbles(h, F.lit(50)) % 4 + 3).cast("string"))).otherwise(F.substr(value, F.lit(1), F.lit(1)))
+        card = let(F.concat(issuer, _numbers(h, 0, n - 1 - F.length(issuer))), lambda d: F.concat(d, _luhn(d)))
         code = F.regexp_extract(value, _CODE, 0)
         phone = F.concat(code, (_nibbles(h, F.lit(50)) % 8 + 2).cast("string"), _numbers(h, 0, n - F.length(code) - 1))
         ssn = F.concat(F.lit("9"), _numbers(h, 0, n - 1))
@@ -161,10 +168,10 @@ def surrogate(m: Column, attempts: Column, key: str = KEY) -> Column:
 
     def of(k: Column, es: Column) -> Column:
         draw = lambda e: core(e, F.coalesce(F.try_element_at(attempts, e), F.lit(0)), key)
-        v, new = _value(k, m), draw(es[0])
+        v, new = _value(k, m), draw(F.get(es, F.lit(0)))
         head = F.substr(m, F.lit(1), F.length(m) - F.length(v))
         names = F.array_join(F.zip_with(F.split(v, " "), es, lambda w, e: _cased(w, draw(e))), " ")
-        out = F.when(k.isin("phone", "card", "ssn"), _poured(m, _digits(new))).when(k == "person", F.concat(head, names))
+        out = F.when(F.size(es) == 0, m).when(k.isin("phone", "card", "ssn"), _poured(m, _digits(new))).when(k == "person", F.concat(head, names))
         spaced = F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c, i: F.when(c == " ", " ").otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
         return out.when(k == "iban", spaced).when(k == "secret", F.concat(head, new)).otherwise(new)
 
@@ -216,7 +223,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     gaps = F.split("text", ANY, -1)
     news = F.transform("_m", lambda m: surrogate(m, F.col("_a"), key))
     joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_m")), news, lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))
-    d = d.withColumn("text", F.when(F.size("_m") > 0, joined).otherwise(F.col("text"))).withColumn("n_entities", F.size("_m").cast("long"))
+    d = d.withColumn("text", F.when(F.size("_m") > 0, joined).otherwise(F.col("text"))).withColumn("n_entities", F.size(F.filter("_m", lambda m: ~_is_number(m))).cast("long"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.size("_m") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(*[c for c in docs.columns if c != "n_entities"], "n_entities")

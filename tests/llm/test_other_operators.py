@@ -243,3 +243,11 @@ def test_phones_are_assigned_as_they_are_written(spark):
     out = [r.s for r in final.select(pii.surrogate(F.col("m"), F.col("a")).alias("s")).collect()]
     written = {re.sub(r"[ -]", "", x) for x in out}
     assert odd and len(out) == len(found) == len(written) and not written & {e[6:] for e in found}
+
+
+def test_numbers_without_a_check_digit_stay(spark):
+    got = replaced(spark, ["no 4111111111111112 here, eve@x.de", "4111 1111 1111 1112", "card 2221000000000009.", "card 4111-1111-1111-1111"])
+    assert got[0][0].startswith("no 4111111111111112 here, ") and "eve" not in got[0][0] and got[0][1] == 1
+    assert got[1] == ("4111 1111 1111 1112", 0)
+    assert got[2][1] == 1 and re.fullmatch(r"card 2[3-6]\d{14}\.", got[2][0]) and "2221000000000009" not in got[2][0]
+    assert got[3][1] == 1 and re.fullmatch(r"card 4\d{3}(-\d{4}){3}", got[3][0]) and "4111-1111-1111-1111" not in got[3][0]
