@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 KEY = "surrogates-1"
-ROUNDS = 30
+#: Rounds without fewer collisions than before after which a format (say, of short phones) counts as used up.
+STALLED = 30
 
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Doña|Госпожа"
@@ -115,12 +116,14 @@ def _like(v: Column, h: Column, letters: int = 26) -> Column:
     return F.array_join(F.transform(F.filter(F.split(v, ""), lambda c: c != ""), one), "")
 
 
-def _name(kind: Column, word: Column, h: Column) -> Column:
-    def syllables(consonants: str, vowels: str, n: int) -> Column:
-        one = lambda k: F.concat(F.substr(F.lit(consonants), _nibbles(h, F.lit(2 * k), 4) % len(consonants) + 1, F.lit(1)), F.substr(F.lit(vowels), _nibbles(h, F.lit(2 * k + 1), 4) % len(vowels) + 1, F.lit(1)))
-        return F.concat(*(one(k) for k in range(n)))
+def _name(kind: Column, word: Column, h: Column, attempt: Column) -> Column:
+    """A name of three syllables, and one more for each attempt, so that names do not run out (70^12 in the end)."""
 
-    latin, cyrillic = syllables(_CONSONANTS, _VOWELS, 3), syllables(_RU_CONSONANTS, _RU_VOWELS, 3)
+    def syllables(consonants: str, vowels: str) -> Column:
+        one = lambda k: F.concat(F.substr(F.lit(consonants), _nibbles(h, 2 * k, 4) % len(consonants) + 1, F.lit(1)), F.substr(F.lit(vowels), _nibbles(h, 2 * k + 1, 4) % len(vowels) + 1, F.lit(1)))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt + 2, F.lit(11))), one), "")
+
+    latin, cyrillic = syllables(_CONSONANTS, _VOWELS), syllables(_RU_CONSONANTS, _RU_VOWELS)
     ru = F.concat(cyrillic, F.when(kind == "surname", "нов").when(kind == "surname_f", "нова").when(kind == "given_f", "на").otherwise("н"))
     en = F.concat(latin, F.when(kind.startswith("surname"), "ner").when(kind == "given_f", "lia").when(kind == "given_m", "rd").otherwise("n"))
     return F.when(word.rlike("\\p{IsCyrillic}"), ru).otherwise(en)
@@ -149,7 +152,7 @@ def core(entity: Column, attempt: Column, key: str = KEY) -> Column:
         stays = F.regexp_extract(value, r"\A(AKIA|ASIA|ghp_|sk-|xox[bp]-)", 1)
         token = F.concat(stays, _like(F.substr(value, F.length(stays) + 1), h))
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-        return out.when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "key", token).otherwise(_name(kind, value, h))
+        return out.when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "key", token).otherwise(_name(kind, value, h, attempt))
 
     return let(digest, of)
 
@@ -186,20 +189,23 @@ def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
     """
     group = F.substring_index("entity", ":", 1)
     state = saved(found.withColumn("attempt", F.lit(0)).withColumn("core", core(F.col("entity"), F.lit(0), key)), "entities")
-    for _ in range(ROUNDS):
+    least, stalled = None, 0
+    while True:
         owner = state.groupBy(group.alias("g"), "core").agg(F.min("entity").alias("owner"), F.count("*").alias("n")).where("n > 1").select("core", "g", "owner")
         same = state.withColumn("g", group).join(owner, ["core", "g"]).where("entity <> owner").select("entity")
         real = state.select(F.concat(group, F.lit(":"), F.lower("core")).alias("e")).distinct()
         real = real.join(state.select(F.lower("entity").alias("e")).distinct(), "e", "left_semi")
         taken = state.join(real, F.concat(group, F.lit(":"), F.lower("core")) == F.col("e"), "left_semi").select("entity")
         again = saved(same.union(taken).distinct(), "again")
-        if not again.limit(1).count():
+        left = again.count()
+        if not left:
             break
+        least, stalled = (left, 0) if least is None or left < least else (least, stalled + 1)
+        if stalled >= STALLED:
+            raise RuntimeError(f"no form is free for {left} entities")
         state = state.join(again.withColumn("again", F.lit(1)), "entity", "left")
         state = state.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
         state = saved(state.withColumn("core", F.when(F.col("attempt") > 0, core(F.col("entity"), F.col("attempt"), key)).otherwise(F.col("core"))), "entities")
-    else:
-        raise RuntimeError("surrogates still collide")
     return state.where("attempt > 0").select("entity", "attempt")
 
 

@@ -251,3 +251,12 @@ def test_numbers_without_a_check_digit_stay(spark):
     assert got[1] == ("4111 1111 1111 1112", 0)
     assert got[2][1] == 1 and re.fullmatch(r"card 2[3-6]\d{14}\.", got[2][0]) and "2221000000000009" not in got[2][0]
     assert got[3][1] == 1 and re.fullmatch(r"card 4\d{3}(-\d{4}){3}", got[3][0]) and "4111-1111-1111-1111" not in got[3][0]
+
+
+def test_names_never_run_out(spark, monkeypatch):
+    for x in ("_CONSONANTS", "_VOWELS"):
+        monkeypatch.setattr(pii, x, getattr(pii, x)[:2])  # 64 names of three syllables
+    found = spark.range(300).select(F.concat(F.lit("surname:w"), F.col("id").cast("string")).alias("entity"))
+    odd = {r.entity: r.attempt for r in pii.assigned(found).collect()}
+    final = spark.createDataFrame([(r.entity, odd.get(r.entity, 0)) for r in found.collect()], "entity string, attempt int")
+    assert final.select(pii.core(F.col("entity"), F.col("attempt")).alias("c")).distinct().count() == 300
