@@ -2,38 +2,92 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders in the shared one that nobody has removed.
+_LEFT: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, as in tests, one is made for a session without executors of its own; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
         folder = "file://" + tempfile.mkdtemp(prefix="chunkflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/chunkflow-{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, until remove() or the end of the driver."""
+    path = f"{shared_folder(spark)}/chunkflow-{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
+#: Spark removes an action's shuffle files when it ends, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them from there: cuts lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes the rows to the shared folder and reads them from there: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go with it. The folder stays until discard() or the end of the driver.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*saved_rows: DataFrame) -> None:
+    """Removes what saved() wrote for these frames; nothing may read them any more."""
+    for df in saved_rows:
+        remove(df.sparkSession, df.saved_at)
+
+
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    """saved() of what make() returns; whatever else make() has left in the shared folder goes."""
+    before = set(_LEFT)
+    out = saved(make(), name)
+    for path in set(_LEFT) - before - {out.saved_at}:
+        remove(spark, path)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    _LEFT.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@atexit.register
+def _remove_left() -> None:
+    """At the driver's end, if its session still runs."""
+    for path, spark in list(_LEFT.items()):
+        if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
+            try:
+                remove(spark, path)
+            except Exception:  # the JVM is gone
+                return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    while True:
+    while True:  # each round reads the one before only
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == before or not now[0]:
             break
@@ -74,10 +128,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "large")
+        large, old = saved(large, "large"), e
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, old)
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

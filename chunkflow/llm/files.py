@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from urllib.parse import urlparse
 
 import numpy as np
@@ -45,16 +44,10 @@ def read_bytes(uri: str) -> bytes:
 
 
 def mapped(uri: str) -> np.ndarray:
-    """The file's bytes, memory-mapped; a file that is not on a mounted file system is fetched to a local copy first."""
+    """The file's bytes, memory-mapped; those of a file that is not on a mounted file system are read into memory."""
     path = _local(uri)
     if path is None:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(uri)
-        fd, path = tempfile.mkstemp(prefix="chunkflow-")
-        with os.fdopen(fd, "wb") as f, store.open_input_stream(at) as g:
-            while part := g.read(1 << 24):
-                f.write(part)
+        return np.frombuffer(read_bytes(uri), np.uint8)
     if not os.path.getsize(path):
         return np.zeros(0, np.uint8)
     return np.memmap(path, np.uint8, "r")
