@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -132,7 +133,7 @@ def test_pii_surrogates(spark):
         "clean 12345678, v1.2.3, 3.14 and Mr. x", None, "", "long " * 40_000 + "eve@x.de",
     ]
     df = spark.createDataFrame([(i, t, 5, "k") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, n_chars long, n_entities string")
-    got = {r.doc_id: r for r in pii.replace_pii(df).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(df, "surrogates-1").collect()}
     assert [got[i].text for i in (4, 5, 6)] == texts[4:7] and got[0].text == got[8].text
     assert [got[i].n_entities for i in range(8)] == [3, 4, 3, 3, 0, 0, 0, 1]
     for t in re.findall(r"bob|eve|42\.144|4041|555|b7db|1beb|AKIAABCD|John|SMITH|Smith|Иванов", " ".join(r.text or "" for r in got.values())):
@@ -227,7 +228,7 @@ def test_packed_sizes_are_token_counts(spark, tmp_path):
 
 def replaced(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r.text, r.n_entities) for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+    return [(r.text, r.n_entities) for r in pii.replace_pii(df, "surrogates-1").orderBy("doc_id").collect()]
 
 
 def test_phones_are_assigned_as_they_are_written(spark):
@@ -240,7 +241,7 @@ def test_phones_are_assigned_as_they_are_written(spark):
     df = spark.createDataFrame([(e,) for e in found], "entity string")
     odd = {r.entity: r.attempt for r in pii.assigned(df).collect()}
     final = spark.createDataFrame([("+1 " + e[8:10] + "-" + e[10:], e, {e: odd.get(e, 0)}) for e in found if len(e) == 13], "m string, e string, a map<string,int>")
-    out = [r.s for r in final.select(pii.surrogate(F.col("m"), F.col("a")).alias("s")).collect()]
+    out = [r.s for r in final.select(pii.surrogate(F.col("m"), F.col("a"), F.lit(None).cast("map<string,string>")).alias("s")).collect()]
     written = {re.sub(r"[ -]", "", x) for x in out}
     assert odd and len(out) == len(found) == len(written) and not written & {e[6:] for e in found}
 
@@ -253,6 +254,41 @@ def test_numbers_without_a_check_digit_stay(spark):
     assert got[3][1] == 1 and re.fullmatch(r"card 4\d{3}(-\d{4}){3}", got[3][0]) and "4111-1111-1111-1111" not in got[3][0]
 
 
+def test_one_phone_in_many_spellings(spark):
+    got = replaced(spark, ["+1 (555) 123-4567", "+15551234567", "+1 5551234567", "+1-555-123-4567", "+1 555.123.4567"])
+    digits = {re.sub(r"\D", "", t) for t, _ in got}
+    assert len(digits) == 1 and digits != {"15551234567"} and all(n == 1 for _, n in got)
+
+
+def test_later_mentions_of_a_name(spark):
+    got = replaced(spark, [
+        "Mr. John Smith arrived. Later Smith and John Smith left; SMITH's car, Johnny, Smithson and smith stay. John!",
+        "Dr Maria Lopez met Mrs Maria Lopez. Maria said: The Lopez house.", "John Smith without a title", "Prof. The Who. The end.",
+    ])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) arrived\. Later (\w+) and (\w+) (\w+) left; (\w+)'s car, Johnny, Smithson and smith stay\. (\w+)!", got[0][0])
+    given, surname = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6], m[7]) == (surname, given, surname, surname.upper(), given) and not {given, surname} & {"John", "Smith"}
+    m = re.fullmatch(r"Dr (\w+) (\w+) met Mrs (\w+) (\w+)\. (\w+) said: The (\w+) house\.", got[1][0])
+    assert m[1] == m[3] == m[5] and m[2] == m[4] == m[6] and m[1] != "Maria" and m[2] != "Lopez"
+    assert got[2] == ("John Smith without a title", 0) and got[3][0].endswith(". The end.")
+    assert got[0][1] == 6 and got[1][1] == 4
+
+
+def test_ipv6_spellings_are_one_entity(spark):
+    got = replaced(spark, ["a 2001:0db8:85a3:0000:0000:8a2e:0370:7334 b", "a 2001:DB8:85A3::8A2E:370:7334 b", "fe80::1, 12:34:56 and std::vector a::b"])
+    one, other = got[0][0].split()[1], got[1][0].split()[1]
+    assert one == other.lower() and one.startswith("2001:db8:") and one.count(":") == 7 and one != "2001:db8:85a3:0:0:8a2e:370:7334"
+    assert got[2][0].endswith(", 12:34:56 and std::vector a::b") and not got[2][0].startswith("fe80") and got[2][1] == 1
+
+
+def test_surrogates_depend_on_the_key_and_nothing_clear_is_kept(spark):
+    df = spark.createDataFrame([(1, "mail someone.private@corp.example.net"), (2, "no data")], "doc_id long, text string")
+    one, two, again = ({r.doc_id: r.text for r in pii.replace_pii(df, k).collect()} for k in ("k1", "k2", "k1"))
+    assert one == again and one[1] != two[1] and one[2] == two[2] == "no data"
+    files = [p for p in Path(spark.conf.get("spark.checkpoint.dir")[7:]).rglob("*.parquet") if re.search(r"pii|entities|attempts|again", str(p))]
+    assert files and not any(b"someone.private" in p.read_bytes() for p in files)
+
+
 def test_names_never_run_out(spark, monkeypatch):
     for x in ("_CONSONANTS", "_VOWELS"):
         monkeypatch.setattr(pii, x, getattr(pii, x)[:2])  # 64 names of three syllables
