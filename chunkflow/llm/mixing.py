@@ -3,41 +3,85 @@
 The documents of a source, in a keyed random order, form blocks of BLOCK documents. With target share w, block i of a
 source is released at slot floor(i / w) and due at ceil((i + 1) / w). In every slot the released block with the earliest
 deadline goes first, so as long as no source has run out, each source has had w * t blocks after t slots, to less than
-one block. Weights are whole numbers and the schedule repeats after their sum: one period is worked out from the
-weights alone and joined to the blocks.
+one block. Weights are whole numbers and the schedule repeats after their sum.
+
+Sources with a weight of their own are scheduled one by one. All others weigh the same: together they are one task of
+the schedule and take its turns in a circle, which keeps each of them within one block too. So the schedule is as long
+as the list of given weights, however many sources there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Documents of a block, and of a part of a source that is numbered by itself (about).
-BLOCK, PART = 8, 2_000
-#: The sources must fit a table on the driver; more than this is an error, never a cut.
-MOST_SOURCES, LONGEST_PERIOD = 10_000, 100_000
+#: Documents of a block, and of a part of all sources that is numbered by itself (about); parts at most.
+BLOCK, PART, MOST_PARTS = 8, 256, 65_536
 #: Target weights of the registered query; sources that are not named weigh 1.
 TARGETS = {"src0": 3, "src1": 2, "src2": 2, "src3": 2}
 SEED = "mix-1"
 
 
-def schedule(weights: list[int]) -> list[tuple[int, int, int]]:
-    """(slot, source, block) of one period of sum(weights) slots, earliest deadline first among released blocks."""
-    period, done, out = sum(weights), [0] * len(weights), []
-    for slot in range(period):
-        best = None
-        for s, w in enumerate(weights):
-            i = done[s]
-            if i < w and i * period // w <= slot:
-                due = -(-(i + 1) * period // w)
-                best = min(best or (due, s), (due, s))
-        if best is None:
+def schedule(weights: list[int], rest: int = 0) -> list[list[int]]:
+    """Slots of each task's blocks in one period of sum(weights) + rest slots, earliest deadline first.
+
+    rest: weight of a task more, which gets all slots that are not listed. Ties go to the task that stands first. The
+    rest's runs are jumped over, so the time depends on the weights alone.
+    """
+    period = sum(weights) + rest
+    slots: list[list[int]] = [[] for _ in weights]
+    waiting = [(0, s) for s in range(len(weights))]  # by release
+    ready: list[tuple[int, int]] = []  # by deadline
+    t = k = 0  # the slot, and the blocks that the rest has had
+    while waiting or ready:
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // weights[s]), s))
+        if rest:
+            run = -(-((t + 1) * rest - k * period) // (period - rest))  # until its next block is not released
+            if ready:
+                run = min(run, (ready[0][0] - 1) * rest // period - k)  # or is not due first
+            if waiting:
+                run = min(run, waiting[0][0] - t)
+            run = min(run, rest - k)
+            if run > 0:
+                t, k = t + run, k + run
+                continue
+        if not ready:
             raise AssertionError("no block is released")
-        out.append((slot, best[1], done[best[1]]))
-        done[best[1]] += 1
-    return out
+        s = heapq.heappop(ready)[1]
+        slots[s].append(t)
+        t += 1
+        if (n := len(slots[s])) < weights[s]:
+            heapq.heappush(waiting, (n * period // weights[s], s))
+    return slots
+
+
+def _numbers(rows: DataFrame, group: list[str], order: list, part: Column, name: str) -> DataFrame:
+    """Adds name, the place from 0 of each row among the rows of its group, without gathering a group in one task.
+
+    part: number of a part of the group that goes on where the one before ends; a part is one task's, and their sizes
+    are added up.
+    """
+    d = rows.withColumn("_p", part)
+    sizes = d.groupBy(*group, "_p").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "_p", before.alias("_before"))
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order)))
+    d = d.join(sizes, [*group, "_p"])
+    return d.withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_p", "_n", "_before")
+
+
+def _digest(c: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), c).cast("binary"))
+
+
+def _part_of(digest: Column, parts: int) -> Column:
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * parts / F.lit(2**32)).cast("long")
 
 
 def mix(docs: DataFrame, weights: dict[str, int], key: str, default: int = 1, seed: str = SEED) -> DataFrame:
@@ -45,39 +89,39 @@ def mix(docs: DataFrame, weights: dict[str, int], key: str, default: int = 1, se
 
     mix_slot orders the blocks; mix_rank orders the rows of a block. Rows of one source are ordered by a hash of seed
     and key, ties by key (repeated keys: any order). A null source is a source of its own, of the default weight. When
-    a source has run out its slots stay empty. Empty input gives no rows. Columns that are called like a new one are
-    replaced.
+    a source has run out its slots stay empty; a named source without rows has none. Empty input gives no rows. Columns
+    that are called like a new one are replaced. Rows are shuffled once, by source and part.
     """
-    new = ("mix_block", "mix_slot", "mix_rank")
-    d = docs.drop(*new).withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    d = d.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
-    counts = d.groupBy("_s").count().limit(MOST_SOURCES + 1).collect()
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    names = sorted(r["_s"] for r in counts)
-    shares = [weights.get(n[1:], default) if n else default for n in names]
-    if any(int(w) != w or w < 1 for w in shares):
+    if any(int(w) != w or w < 1 for w in (*weights.values(), default)):
         raise ValueError("weights are whole numbers from 1")
-    period = sum(shares)
-    if period > LONGEST_PERIOD:
-        raise ValueError(f"weights sum to more than {LONGEST_PERIOD}")
-    rows = [(names[s], shares[s], i, slot) for slot, s, i in schedule(shares)]
-    plan = docs.sparkSession.createDataFrame(rows, "_s string, _w int, _i long, _at long") if rows else None
-    if plan is None:
-        return docs.drop(*new).select("*", *(F.lit(None).cast("long").alias(c) for c in new))
-    parts = max(1, min(65536, sum(r["count"] for r in counts) // PART))
-    d = d.withColumn("_p", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * parts / F.lit(2**32)).cast("long"))
-    sizes = d.groupBy("_s", "_p").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_s", "_p", before.alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", key))
-    d = d.withColumn("_n", number).join(sizes, ["_s", "_p"])
-    d = d.withColumn("_n", F.col("_before") + F.col("_n") - 1).withColumn("mix_block", F.floor(F.col("_n") / BLOCK))
-    weight = F.broadcast(plan.select("_s", "_w").distinct())
-    d = d.join(weight, "_s").withColumn("_i", F.col("mix_block") % F.col("_w"))
-    d = d.join(F.broadcast(plan.select("_s", "_i", "_at")), ["_s", "_i"])
-    slot = F.floor(F.col("mix_block") / F.col("_w")) * period + F.col("_at")
-    return d.select(*[c for c in docs.columns if c not in new], "mix_block", slot.alias("mix_slot"), (F.col("_n") % BLOCK).alias("mix_rank"))
+    new = ("mix_block", "mix_slot", "mix_rank")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("_row"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_s"), F.col(key).alias("_k"))
+    rows = rows.withColumn("_h", _digest(F.coalesce(F.col("_k").cast("string"), F.lit("")), seed))
+    counts = saved(rows.groupBy("_s").count(), "sources")
+    named = {f"={s}": int(w) for s, w in weights.items()}
+    given = counts.where(F.col("_s").isin(list(named)))
+    there = sorted(r["_s"] for r in given.collect())  # as many as there are weights, at most
+    others = counts.where(~F.col("_s").isin(there))
+    total, sources = (counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0], others.count())
+    rest = default * sources
+    slots = schedule([named[s] for s in there], rest)
+    period = sum(named[s] for s in there) + rest
+
+    circle = others.select("_s", _digest(F.col("_s"), seed).alias("_d"))
+    circle = _numbers(circle, [], ["_d", "_s"], _part_of(F.col("_d"), max(1, min(MOST_PARTS, sources // PART))), "_turn").select("_s", "_turn")
+    parts = max(1, min(MOST_PARTS, total // PART))
+    d = _numbers(rows, ["_s"], ["_h", "_k"], _part_of(F.col("_h"), parts), "_at")
+    d = d.withColumn("mix_block", F.floor(F.col("_at") / BLOCK))
+
+    turn = F.col("mix_block") * sources + F.col("_turn")
+    taken = sorted(x for s in slots for x in s)
+    jumped = F.size(F.filter(F.lit([x - i for i, x in enumerate(taken)]).cast("array<long>"), lambda x: x <= turn % rest))
+    slot = F.floor(turn / rest) * period + turn % rest + jumped if rest else F.lit(None)
+    own = F.lit(None).cast("long")
+    for s, places in zip(there, slots):
+        own = F.when(F.col("_s") == s, F.floor(F.col("mix_block") / named[s]) * period + F.element_at(F.lit(places).cast("array<long>"), (F.col("mix_block") % named[s] + 1).cast("int"))).otherwise(own)
+    d = d.join(circle, "_s", "left").withColumn("mix_slot", F.coalesce(own, slot).cast("long"))
+    return d.select("_row.*", "mix_block", "mix_slot", (F.col("_at") % BLOCK).alias("mix_rank"))
 
 
 def written_order(mixed: DataFrame) -> DataFrame:
@@ -94,9 +138,13 @@ SQL = f"""
 WITH RECURSIVE n AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 AS n FROM documents
 ),
+g AS (
+  SELECT s, CASE s {" ".join(f"WHEN '{s}' THEN {w}" for s, w in TARGETS.items())} END AS wt FROM (SELECT DISTINCT source AS s FROM documents)
+),
+o AS (SELECT s, row_number() OVER (ORDER BY md5('{SEED}:' || coalesce('=' || s, '')), s NULLS FIRST) - 1 AS turn, CAST(count(*) OVER () AS BIGINT) AS many FROM g WHERE wt IS NULL),
 w AS (
-  SELECT s, wt, row_number() OVER (ORDER BY s NULLS FIRST) AS k, CAST(sum(wt) OVER () AS BIGINT) AS period FROM (
-    SELECT DISTINCT source AS s, CASE source {" ".join(f"WHEN '{s}' THEN {w}" for s, w in TARGETS.items())} ELSE 1 END AS wt FROM documents)
+  SELECT s, wt, rest, row_number() OVER (ORDER BY rest, s) AS k, CAST(sum(wt) OVER () AS BIGINT) AS period
+  FROM (SELECT s, wt, false AS rest FROM g WHERE wt IS NOT NULL UNION ALL SELECT DISTINCT NULL, many, true FROM o)
 ),
 t(slot, done, pick) AS (
   SELECT 0::BIGINT, list_transform(range(0, (SELECT count(*) FROM w)), lambda x: 0::BIGINT), NULL::BIGINT
@@ -108,7 +156,12 @@ t(slot, done, pick) AS (
     FROM t WHERE slot < (SELECT max(period) FROM w)
   )
 ),
-p AS (SELECT pick AS k, slot - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS i FROM t WHERE pick IS NOT NULL)
-SELECT n.doc_id, n.source, n.n // {BLOCK} AS mix_block, ((n.n // {BLOCK}) // w.wt) * w.period + p.at AS mix_slot, n.n % {BLOCK} AS mix_rank
-FROM n JOIN w ON w.s IS NOT DISTINCT FROM n.source JOIN p ON p.k = w.k AND p.i = (n.n // {BLOCK}) % w.wt
+p AS (SELECT pick AS k, slot - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS i FROM t WHERE pick IS NOT NULL),
+b AS (
+  SELECT n.doc_id, n.source, n.n // {BLOCK} AS mix_block, n.n % {BLOCK} AS mix_rank, o.turn IS NOT NULL AS rest,
+    CASE WHEN o.turn IS NULL THEN n.n // {BLOCK} ELSE (n.n // {BLOCK}) * o.many + o.turn END AS nth
+  FROM n LEFT JOIN o ON o.s IS NOT DISTINCT FROM n.source
+)
+SELECT b.doc_id, b.source, b.mix_block, (b.nth // w.wt) * w.period + p.at AS mix_slot, b.mix_rank
+FROM b JOIN w ON w.rest = b.rest AND (w.rest OR w.s = b.source) JOIN p ON p.k = w.k AND p.i = b.nth % w.wt
 """

@@ -81,12 +81,27 @@ def test_nearest_neighbours(spark):
 
 
 def test_mixing_deviates_by_less_than_one_block(spark):
-    for weights in ([1], [3, 2, 2], [5, 1, 1, 7, 3], [1] * 9 + [20]):
-        total, done = sum(weights), Counter()
-        for slot, s, i in mixing.schedule(weights):
-            assert done[s] == i
-            done[s] += 1
-            assert all(abs(done[k] - w * (slot + 1) / total) < 1 for k, w in enumerate(weights))
+    for weights, rest in (([1], 0), ([3, 2, 2], 0), ([5, 1, 1, 7, 3], 0), ([1] * 9 + [20], 0), ([3, 2], 16), ([2, 9], 1), ([], 4), ([7, 1], 300)):
+        total, done = sum(weights) + rest, Counter()
+        slots = mixing.schedule(weights, rest)
+        owner = {t: s for s, ts in enumerate(slots) for t in ts}
+        assert [len(ts) for ts in slots] == weights and all(ts == sorted(ts) for ts in slots) and len(owner) == sum(weights)
+        for t in range(total):  # the rest are `rest` sources of weight 1 that take turns
+            s = owner.get(t)
+            done[s if s is not None else len(weights) + sum(done[k] for k in range(len(weights), len(weights) + rest)) % max(rest, 1)] += 1
+            assert all(abs(done[k] - w * (t + 1) / total) < 1 for k, w in enumerate([*weights, *[1] * rest]))
+    assert mixing.schedule([1000, 3], 10**12)[1][-1] < 10**12 + 1003  # as long as the weights, whatever the rest
+
+
+def test_mixing_of_very_many_sources(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("host"), F.col("id") % 20_011)).otherwise("big").alias("source"))
+    got = mixing.mix(df, {"big": 15_000}, "doc_id")
+    first = got.where("mix_block = 0").groupBy("source").agg(F.max("mix_slot").alias("top"), F.countDistinct("mix_slot").alias("n"))
+    assert got.count() == 30_000 and got.select("mix_slot", "mix_rank").distinct().count() == 30_000
+    hosts = got.select("source").distinct().count() - 1
+    assert hosts > 10_000 and first.where("n > 1").count() == 0 and first.agg(F.max("top")).first()[0] < 15_000 + hosts
+
+
     rows = [(i, ["a", "b", None, "a"][i % 4], "x") for i in range(4000)] + [(None, "a", "y"), (7, "c", "z"), (7, "c", "z")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, mix_slot string"), {"a": 3}, "doc_id").collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter(r[:2] for r in rows)
