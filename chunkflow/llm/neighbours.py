@@ -1,21 +1,43 @@
-"""Nearest neighbours by collision counting: sorted projections, query-centred windows, virtual rehashing."""
+"""Nearest neighbours by collision counting: sorted projections, query-centred windows, virtual rehashing.
+
+A vector at distance R from the query lies in a window of WIDTH * R around it with probability p = 2 * Phi(WIDTH / 2) - 1,
+whatever the projection. So at radius R, a vector within R collides in p * PROJECTIONS of them on average; the threshold
+is MARGIN standard deviations below that, and vectors that reach it are verified. Projections are taken in orthogonal
+sets, which makes counts deviate less than that.
+"""
 
 from __future__ import annotations
 
+from math import ceil, erf, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import new_folder, saved, table
+from .files import mapped, pack, unpack, write_bytes
 from .vectors import matrix, usable
 
-#: Projections, the share of them that a vector must collide in, the window's width at radius 1 and the radii's ratio.
-PROJECTIONS, SHARE, WIDTH, RATIO = 64, 0.55, 2.7, 1.15
+#: Projections, the window's width at radius 1, the radii's ratio, standard deviations from the mean to the threshold.
+PROJECTIONS, WIDTH, RATIO, MARGIN = 128, 2.72, 1.05, 2.5
 #: Rows of one index, queries that meet it in one task, and of these how many search at a time.
 BLOCK, QUERIES, TOGETHER = 16_000, 4_000, 64
 #: Radii whose windows are looked up at once.
-STEPS = 12
+STEPS = 24
+
+
+def threshold() -> int:
+    """Collisions from which a vector is verified."""
+    p = erf(WIDTH / 2 / sqrt(2))
+    return ceil(PROJECTIONS * p - MARGIN * sqrt(PROJECTIONS * p * (1 - p)))
+
+
+def lines(width: int) -> np.ndarray:
+    """Random directions, as columns, in sets of `width` orthogonal ones; each component has variance 1."""
+    rng = np.random.default_rng(5)
+    sets = [np.linalg.qr(rng.standard_normal((width, width)))[0] for _ in range(ceil(PROJECTIONS / width))]
+    return np.concatenate(sets, 1)[:, :PROJECTIONS] * sqrt(width)
 
 
 class Index:
@@ -24,7 +46,7 @@ class Index:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.ids = x, ids
         self.scale = max(float(np.abs(x).max()), 1e-300)
-        self.lines = np.random.default_rng(5).standard_normal((x.shape[1], PROJECTIONS))
+        self.lines, self.verified = lines(x.shape[1]), 0
         self.scaled = x / self.scale
         p = self.scaled @ self.lines
         self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
@@ -68,7 +90,7 @@ class _Query:
 
     def grow(self, lo: np.ndarray, hi: np.ndarray, radii: np.ndarray, k: int) -> bool:
         """Takes windows of growing radii (projections x radii) up to the one that ends the search, if there is one."""
-        order, n, need = self.index.order, len(self.index.x), int(np.ceil(SHARE * PROJECTIONS))
+        order, n, need = self.index.order, len(self.index.x), threshold()
         least = min(k, n - int(self.tried.sum()) + len(self.rows)) * need  # collisions that the rows wanted have together
         held = (hi - lo).sum(0)
         for t in range(len(radii)):
@@ -84,6 +106,7 @@ class _Query:
             self.hits += np.bincount(np.concatenate(new), minlength=n)
             more = np.flatnonzero((self.hits >= need) & ~self.tried)
             self.tried[more] = True
+            self.index.verified += len(more)
             near = self.index.squares[more] + self.own_square - 2 * self.index.scaled[more] @ self.scaled
             self.rows, self.squares = np.concatenate([self.rows, more]), np.concatenate([self.squares, near])
             if (self.squares <= radii[t] ** 2).sum() >= k or self.tried.all():
@@ -111,36 +134,57 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def nearest_neighbours(vectors: DataFrame, queries, k: int = 10) -> DataFrame:
     """The k nearest other vectors of each query, by Euclidean distance: query_id, rank (from 1), vec_id, score.
 
-    queries: condition that says which rows are queries. All rows are dealt into blocks by a hash of the id; each block
-    is indexed and meets the queries in batches; the blocks' best are merged. A query has fewer rows if there are
-    fewer candidates; ties go to smaller ids. Vectors null, zero or with null or non-finite components, and null ids,
-    take no part; vectors of different lengths do not meet. Rows that repeat an id are candidates once each, but not
-    for a query of that id. Other columns are ignored.
+    queries: condition that says which rows are queries. All rows are dealt into blocks by a hash of the id, and queries
+    into batches; each block and each batch is written once, and a task indexes a block and searches it for a batch; the
+    blocks' best are merged. A query has fewer rows if there are fewer candidates; ties go to smaller ids. Vectors null,
+    zero or with null or non-finite components, and null ids, take no part; vectors of different lengths do not meet.
+    Rows that repeat an id are candidates once each, but not for a query of that id; a repeated query is asked with the
+    vector that is least. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     v = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).where("vec_id is not null")
     v = saved(v.select("vec_id", "dim", "vec", F.coalesce(queries, F.lit(False)).alias("ask")), "vectors")
     n, asked = v.agg(F.count("*"), F.count_if("ask")).first()
-    blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    base = v.select("vec_id", "dim", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(batches).alias("batch"), F.lit(False).alias("ask"))
-    ask = v.where("ask").select("vec_id", "dim", "vec", every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(batches)).cast("int").alias("batch"), F.lit(True).alias("ask"))
-
-    def search(f):
-        s, q = f[~f["ask"]].sort_values("vec_id"), f[f["ask"]].drop_duplicates("vec_id")
-        out = []
-        if len(s) and len(q):
-            ids, index = s["vec_id"].to_numpy(), Index(matrix(s["vec"]), s["vec_id"].to_numpy())
-            asked, x = q["vec_id"].to_numpy(), matrix(q["vec"])
-            for i in range(0, len(q), TOGETHER):
-                for own, (rows, far) in zip(asked[i : i + TOGETHER], index.nearest(x[i : i + TOGETHER], asked[i : i + TOGETHER], k)):
-                    out += [(own, ids[r], d) for r, d in zip(rows, far)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = base.unionByName(ask).repartition(blocks * batches, "dim", "block", "batch").groupBy("dim", "block", "batch").applyInPandas(search, "query_id long, vec_id long, score double")
+    dealt = lambda rows, size, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(max(1, -(-rows // size)))).cast("int")
+    folder = new_folder(spark, "blocks")
+    blocks = _written(v, "block", dealt(n, BLOCK, 1), folder)
+    asking = v.where("ask").groupBy("vec_id").agg(F.min_by(F.struct("dim", "vec"), F.struct("dim", "vec")).alias("v")).select("vec_id", "v.*")
+    batches = _written(asking, "batch", dealt(asked, QUERIES, 3), folder)
+
+    def search(it):
+        for f in it:
+            out = []
+            for block, batch in zip(f["block"], f["batch"]):
+                (ids, x), (own, q) = (_read(p) for p in (block, batch))
+                index = Index(x, ids)
+                for i in range(0, len(q), TOGETHER):
+                    for o, (rows, far) in zip(own[i : i + TOGETHER], index.nearest(q[i : i + TOGETHER], own[i : i + TOGETHER], k)):
+                        out += [(o, ids[r], d) for r, d in zip(rows, far)]
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    tasks = blocks.join(batches, "dim").select("block", "batch")  # names of files: a row for each task
+    found = tasks.repartition(max(1, tasks.count()), "block", "batch").mapInPandas(search, "query_id long, vec_id long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
+def _written(v: DataFrame, name: str, part, folder: str) -> DataFrame:
+    """Writes the vectors of each length and part to a file, by id: dim and the file's name."""
+
+    def write(key, f):
+        f = f.sort_values("vec_id")
+        path = f"{folder}/{name}-{key[0]}-{key[1]}.bin"
+        write_bytes(path, pack({"ids": f["vec_id"].to_numpy(np.int64), "x": matrix(f["vec"]).ravel()}))
+        return pd.DataFrame({"dim": [key[0]], name: [path]})
+
+    return saved(v.withColumn("part", part).groupBy("dim", "part").applyInPandas(write, f"dim int, {name} string"), name)
+
+
+def _read(path: str) -> tuple[np.ndarray, np.ndarray]:
+    got = unpack(mapped(path))
+    return np.array(got["ids"]), np.array(got["x"]).reshape(len(got["ids"]), -1)
+
+
 def op9_collision_counting_ann(spark, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
 

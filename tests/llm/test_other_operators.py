@@ -80,6 +80,32 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest_neighbours(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_few_rows_are_verified():
+    """On clustered vectors only a small part of the rows is verified, and nearly all true neighbours are found."""
+    rng = np.random.default_rng(2)
+    for x, most in ((np.repeat(rng.standard_normal((100, 64)), 40, 0) + 0.3 * rng.standard_normal((4000, 64)), 0.05), (rng.standard_normal((4000, 64)), 0.4)):
+        index, asked = neighbours.Index(x, np.arange(4000)), np.arange(0, 4000, 80)
+        got = index.nearest(x[asked], asked, 10)
+        hits = 0
+        for q, (rows, far) in zip(asked, got):
+            d = neighbours.distances(x, x[q])
+            d[q] = np.inf
+            hits += len(set(rows.tolist()) & set(np.argsort(d, kind="stable")[:10].tolist()))
+            assert far.tolist() == sorted(d[rows].tolist())
+        assert hits >= 0.98 * 10 * len(asked) and index.verified < most * 4000 * len(asked)
+
+
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0, 0.0], "x", 1) for i in range(30)] + [(5, [5.0, 1.0, 0.5], "y", 2), (5, [5.0, 1.0, 0.5], "y", 2), (10, [0.5, 0.5, 0.5], "z", 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vec string, dim int")
+    got = neighbours.nearest_neighbours(df, F.col("vec_id") % 5 == 0, 4).collect()
+    assert {r.query_id for r in got} == set(range(0, 30, 5)) and len(got) == 24
+    first = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 5]
+    assert first == [(4, 1.0), (6, 1.0), (3, 2.0), (7, 2.0)]
+    near = [(r.vec_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 10]
+    assert near == [(i, round(((i - 0.5) ** 2 + 0.5) ** 0.5, 6)) for i in range(4)]
+
+
 def test_mixing_deviates_by_less_than_one_block(spark):
     for weights, rest in (([1], 0), ([3, 2, 2], 0), ([5, 1, 1, 7, 3], 0), ([1] * 9 + [20], 0), ([3, 2], 16), ([2, 9], 1), ([], 4), ([7, 1], 300)):
         total, done = sum(weights) + rest, Counter()
