@@ -97,18 +97,19 @@ def remainder(doc_id, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int):
-    """At most `rows` labelled documents (doc_id, text, label) outside the held-out fold, as a pandas frame.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> DataFrame:
+    """At most `rows` labelled documents (doc_id, text, label) outside the held-out fold.
 
     The bound is the documented parameter of the classifiers that learn on the driver. The rows are the smallest by a
     keyed hash of the id, so that the choice does not depend on partitioning. A document with several labels has the
-    largest.
+    largest; of rows that repeat an id the one with the least hash of its text counts.
     """
     y = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    d = docs.select("doc_id", "text").where(remainder("doc_id", mod) != held)
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(remainder("doc_id", mod) != held)
     ids = d.select("doc_id").join(y, "doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
-    return d.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    one = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r"))
+    return one.select("doc_id", "r.text", F.col("r.label").cast("int").alias("label"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from .common import labelled_sample, remainder, table
 
 #: Words of a passage; labelled documents that training uses at most; passes over them.
 PASSAGE, SAMPLE, EPOCHS = 64, 6_000, 30
-HIDDEN, GATE, BAG = 24, 12, 16
+HIDDEN, GATE, BAG = 24, 12, 64
 #: Byte classes that are counted in each passage.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"\n", b".", b",", b"!?", b"|", b"#", b"$%&", b"*_~", b"<>{}[]()", b"\"'`", b":;-", b"=+/\\@^"]
 _CLASS = np.full(256, len(CLASSES), np.uint8)
@@ -45,12 +45,12 @@ def passages(texts) -> tuple[np.ndarray, np.ndarray]:
     size = (last - first).astype(np.float64)
     starts, ends = words.word_spans(data)
     kinds = _CLASS[np.frombuffer(data, np.uint8)]
-    spans = np.stack([starts[first], ends[last - 1]], 1).ravel()
-    if spans[-1] >= len(kinds):
-        kinds = np.append(kinds, 0)
-    length = (spans[1::2] - spans[::2]).astype(np.float64)
-    for k in range(len(CLASSES) + 2):
-        x[rows, k] = 10 * np.add.reduceat((kinds == k).astype(np.int32), spans)[::2] / length
+    begin, end = starts[first], ends[last - 1]
+    length = (end - begin).astype(np.float64)
+    cuts = np.concatenate([[0], np.stack([begin, end], 1).ravel(), [len(kinds)]])  # passages and what lies between them
+    n_kinds = len(CLASSES) + 2
+    flat = np.repeat(np.arange(len(cuts) - 1) * n_kinds, np.diff(cuts)) + kinds
+    x[rows, :n_kinds] = 10 * np.bincount(flat, minlength=(len(cuts) - 1) * n_kinds).reshape(-1, n_kinds)[1::2] / length[:, None]
     which = np.repeat(np.arange(len(first)), last - first)
     at = len(CLASSES) + 2
     x[rows, at] = np.add.reduceat((ends - starts).astype(np.float64), first) / size / 8
@@ -66,9 +66,9 @@ def passages(texts) -> tuple[np.ndarray, np.ndarray]:
     x[rows, at + 3], x[rows, at + 4] = fresh[owner], np.log1p(n[owner]) / 5
     x[rows, at + 5] = np.add.reduceat(((ends - starts) > 20).astype(np.float64), first) / size
     x[rows, at + 6] = np.minimum(size / PASSAGE, 1)
-    bag = np.zeros((len(first), BAG))
-    np.add.at(bag, (which, (h & np.uint64(BAG - 1)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
-    x[rows, at + 7 :] = bag / size[:, None]
+    spot = which * BAG + (h & np.uint64(BAG - 1)).astype(np.int64)
+    bag = np.bincount(spot, np.where(h >> np.uint64(63), 1.0, -1.0), len(first) * BAG)
+    x[rows, at + 7 :] = bag.reshape(-1, BAG) / size[:, None]
     return x, out_offsets
 
 
@@ -94,6 +94,10 @@ class GatedAttention:
     def score(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.forward(x, offsets)[-1]
 
+    def attention(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Weight of each passage; those of a document sum to 1."""
+        return self.forward(x, offsets)[4]
+
     def gradients(self, x, offsets, y):
         p = self.p
         z, h, t, s, a, bag, m, out = self.forward(x, offsets)
@@ -142,7 +146,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
                 x, offsets = passages(f["text"].tolist()[a:b])
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[a:b].to_numpy(), "label": f["label"].iloc[a:b].to_numpy(), "x": [x[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]})
 
-    sample = labelled_sample(docs, labels, "quality", mod, held, SAMPLE).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    sample = labelled_sample(docs, labels, "quality", mod, held, SAMPLE)
     got = sample.mapInPandas(encode, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
     if got["label"].nunique() < 2:
         return None

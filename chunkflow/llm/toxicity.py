@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import labelled_sample, remainder, table
+from .common import discard, labelled_sample, remainder, saved, table
 
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
@@ -42,21 +42,20 @@ def _words(texts):
 
 
 class Lexicon:
-    """Sorted hashes of words and of beginnings, with their log odds."""
+    """Sorted hashes of words and of beginnings, with their log odds.
 
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    tables: for words, then for beginnings, the hashes that occur in documents and in how many toxic and other ones.
+    """
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: int, others: int):
         self.tables = []
-        toxic = max(1, int(labels.sum()))
-        least = max(3, int(0.006 * toxic))
-        for side in (0, 1):
-            keys = [b[side] for b in bags]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            y = np.repeat(labels, [len(k) for k in keys])
-            u, back = np.unique(flat, return_inverse=True)
-            t = np.bincount(back, y, len(u)) if len(u) else np.zeros(0)
-            c = np.bincount(back, 1 - y, len(u)) if len(u) else np.zeros(0)
-            odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (max(1, len(labels) - toxic) + 1))
-            pick = (t >= least) & (odds > 1.6) & (u != 0)
+        least = max(3, int(0.006 * max(1, toxic)))
+        for u, t, c in tables:
+            order = np.argsort(u)
+            u, t, c = u[order], t[order], c[order]
+            odds = np.log((t + 0.5) / (max(1, toxic) + 1)) - np.log((c + 0.5) / (max(1, others) + 1))
+            surely = odds - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))  # lower end of the log odds
+            pick = (t >= least) & (surely > 0.8) & (u != 0)
             self.tables.append((u[pick], odds[pick]))
 
     def weigh(self, h: np.ndarray, side: int) -> np.ndarray:
@@ -165,54 +164,99 @@ class Trees:
 
 
 class Isotonic:
-    """Non-decreasing fit of labels to raw scores by pooling adjacent violators; linear between block centres."""
+    """Non-decreasing fit of labels to raw scores by pooling adjacent violators; linear in the gaps between blocks.
+
+    Equal raw scores are one block from the start, so the order of rows does not matter.
+    """
 
     def __init__(self, raw: np.ndarray, y: np.ndarray):
-        order = np.argsort(raw, kind="stable")
-        blocks: list[list[float]] = []
-        for r, t in zip(raw[order], y[order]):
-            blocks.append([r, t, 1.0])
-            while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
-                r2, t2, n2 = blocks.pop()
-                r1, t1, n1 = blocks[-1]
-                blocks[-1] = [(r1 * n1 + r2 * n2) / (n1 + n2), (t1 * n1 + t2 * n2) / (n1 + n2), n1 + n2]
-        self.x, self.y = np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
+        different, back, count = np.unique(raw, return_inverse=True, return_counts=True)
+        blocks: list[list[float]] = []  # first and last raw score, sum of labels, rows
+        for r, t, n in zip(different.tolist(), np.bincount(back, y, len(different)).tolist(), count.tolist()):
+            blocks.append([r, r, t, n])
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+                _, last, t2, n2 = blocks.pop()
+                first, _, t1, n1 = blocks[-1]
+                blocks[-1] = [first, last, t1 + t2, n1 + n2]
+        self.x = np.array([x for b in blocks for x in b[:2]])
+        self.y = np.array([b[2] / b[3] for b in blocks for _ in "xx"])
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, self.x, self.y)
 
 
 class Toxicity:
-    """Two folds: features and raw scores of each fold come from the other's lexicon and trees, and calibrate."""
-
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        groups = np.array_split(np.arange(len(texts)), max(1, len(texts) // 200))
-        bags = [b for g in groups for b in bag_of([texts[i] for i in g])]
-        fold = np.arange(len(texts)) % 2
-        pick = lambda rows: Lexicon([bags[i] for i in rows], labels[rows])
-        lexicons = [pick(np.flatnonzero(fold != k)) for k in (0, 1)]
-        x = np.zeros((len(texts), FEATURES))
-        for k in (0, 1):
-            rows = np.flatnonzero(fold == k)
-            for part in np.array_split(rows, max(1, len(rows) // 200)):
-                x[part] = features([texts[i] for i in part], lexicons[k])
-        raw = np.zeros(len(texts))
+    """Trees and calibration over the features of labelled documents.
+
+    x: for each document its features by a lexicon that was learnt without its fold, fold: 0 or 1. Raw scores of each
+    fold come from the other's trees and calibrate; the trees in use are fitted on all rows.
+    """
+
+    def __init__(self, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, lexicon: Lexicon):
+        raw = np.zeros(len(x))
         for k in (0, 1):
             raw[fold == k] = Trees(x[fold != k], labels[fold != k]).raw(x[fold == k])
-        self.calibrate, self.trees, self.lexicon = Isotonic(raw, labels), Trees(x, labels), pick(np.arange(len(texts)))
+        self.calibrate, self.trees, self.lexicon = Isotonic(raw, labels), Trees(x, labels), lexicon
 
     def score(self, texts) -> np.ndarray:
         return self.calibrate(self.trees.raw(features(texts, self.lexicon)))
 
 
+def _documents(f: pd.DataFrame):
+    """Pieces of a frame whose texts together are not long."""
+    for a, b in words.batches(f["text"].tolist()):
+        yield f.iloc[a:b]
+
+
+def _bags(it):
+    """fold, side (0 words, 1 beginnings), hash, toxic, once for each document that has it."""
+    for f in it:
+        for part in _documents(f):
+            bags = bag_of(part["text"].tolist())
+            for side in (0, 1):
+                n = [len(b[side]) for b in bags]
+                yield pd.DataFrame({"fold": np.repeat(part["fold"].to_numpy(), n), "side": side, "h": np.concatenate([b[side] for b in bags]).view(np.int64), "toxic": np.repeat(part["label"].to_numpy(), n)})
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Toxicity | None:
-    """Fits on at most SAMPLE labelled documents outside the held-out fold; None without enough of both labels."""
-    sample = labelled_sample(docs, labels, "toxic", mod, held, SAMPLE).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    got = sample.toPandas().sort_values("doc_id").drop_duplicates("text")
-    if not len(got) or got["label"].value_counts().reindex([0, 1]).fillna(0).min() < 4:
+    """Fits on at most SAMPLE labelled documents outside the held-out fold; None without enough of both labels.
+
+    The executors count words and work out features; the driver gets the words of the lexicon and FEATURES numbers of
+    each document, no texts.
+    """
+    sample = labelled_sample(docs, labels, "toxic", mod, held, SAMPLE)
+    key = F.xxhash64("text", F.lit(9))
+    sample = sample.groupBy(key.alias("key")).agg(F.min(F.struct("doc_id", "text", "label")).alias("r")).select("r.*", F.pmod("key", F.lit(2)).cast("int").alias("fold"))
+    sample = saved(sample, "sample")  # equal texts count once
+    sizes = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+    count = lambda label, folds=(0, 1): sum(sizes.get((k, label), 0) for k in folds)
+    if min(sizes.get((k, y), 0) for k in (0, 1) for y in (0, 1)) < 2:
+        discard(sample)
         return None
-    order = np.random.default_rng(6).permutation(len(got))
-    return Toxicity(got["text"].to_numpy()[order].tolist(), got["label"].to_numpy(float)[order])
+    seen = sample.mapInPandas(_bags, "fold int, side int, h long, toxic int").groupBy("side", "h")
+    seen = seen.agg(*(F.count_if((F.col("fold") == k) & (F.col("toxic") == y)).alias(f"n{k}{y}") for k in (0, 1) for y in (0, 1))).where("n01 + n11 >= 3")
+    got = seen.toPandas()  # words of three toxic documents of the sample at least
+
+    def lexicon(folds):
+        t, c = (got[[f"n{k}{y}" for k in folds]].sum(axis=1).to_numpy() for y in (1, 0))
+        side = got["side"].to_numpy()
+        tables = [(got["h"].to_numpy()[side == s].view(np.uint64), t[side == s], c[side == s]) for s in (0, 1)]
+        return Lexicon(tables, count(1, folds), count(0, folds))
+
+    of_others = [lexicon([1]), lexicon([0])]
+
+    def encode(it):
+        for f in it:
+            for part in _documents(f):
+                for k in (0, 1):
+                    own = part[part["fold"] == k]
+                    if len(own):
+                        x = features(own["text"].tolist(), of_others[k])
+                        yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "label": own["label"].to_numpy(), "fold": k, "x": list(x)})
+
+    rows = sample.mapInPandas(encode, "doc_id long, label int, fold int, x array<double>").toPandas().sort_values("doc_id")
+    discard(sample)
+    return Toxicity(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float), rows["fold"].to_numpy(), lexicon([0, 1]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:

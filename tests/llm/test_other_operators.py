@@ -9,7 +9,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from chunkflow.llm import embedding_dup, mixing, neighbours, packing, pii, quality, toxicity
+from chunkflow.llm import embedding_dup, mixing, neighbours, packing, pii, quality, toxicity, words
 from chunkflow.llm.registry import QUERIES, SQL
 
 
@@ -236,6 +236,120 @@ def test_classifiers(spark, kind):
     assert f(docs.limit(0), labels).collect() == []
 
 
+def naive_passages(t):
+    """Features of a text's passages, one word and one byte at a time."""
+    raw = (t or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    h = [int(x) for x in words.hash_words([raw])[0]]
+    out = []
+    for a in range(0, len(spans), quality.PASSAGE):
+        part, hs = spans[a : a + quality.PASSAGE], h[a : a + quality.PASSAGE]
+        n, body = len(part), raw[part[0][0] : part[-1][1]]
+        kinds = Counter(next((k for k, c in enumerate(quality.CLASSES) if b in c), len(quality.CLASSES) + (b >= 128)) for b in body)
+        row = [10 * kinds[k] / len(body) for k in range(len(quality.CLASSES) + 2)]
+        row += [sum(e - s for s, e in part) / n / 8, sum(h[i] == h[i - 1] for i in range(max(a, 1), a + n)) / n, len(set(hs)) / n, len(set(h)) / len(h), np.log1p(len(h)) / 5]
+        row += [sum(e - s > 20 for s, e in part) / n, min(n / quality.PASSAGE, 1)]
+        bag = [0.0] * quality.BAG
+        for x in hs:
+            bag[x % quality.BAG] += (1 if x >> 63 else -1) / n
+        out.append(row + bag)
+    return np.array(out or [[0.0] * quality.WIDTH])
+
+
+def test_passages_and_attention_equal_brute_force():
+    rng = random.Random(3)
+    texts = ["", None, "one", "Ab, c! " * 100, "ÉTÉ été\n\t $9 " * 50, " ".join(rng.choice(["x", "yy", "Zz.", "a" * 30, "12%"]) for _ in range(500)), "#" * 3000]
+    x, offsets = quality.passages(texts)
+    model = quality.GatedAttention(np.zeros(quality.WIDTH), np.ones(quality.WIDTH))
+    model.p["w"] = np.linspace(-1, 1, quality.GATE)
+    scores, weights = model.score(x, offsets), model.attention(x, offsets)
+    for i, t in enumerate(texts):
+        want = naive_passages(t)
+        np.testing.assert_allclose(x[offsets[i] : offsets[i + 1]], want, rtol=1e-5, atol=1e-6)
+        p, m, e = model.p, [], []
+        for z in np.clip(want, -8, 8):
+            h = np.tanh(z @ p["W"] + p["b"])
+            m.append(h)
+            e.append(sum(np.tanh(h @ p["V"][:, k]) / (1 + np.exp(-(h @ p["U"][:, k]))) * p["w"][k] for k in range(quality.GATE)))
+        a = np.exp(np.array(e)) / sum(np.exp(v) for v in e)
+        np.testing.assert_allclose(weights[offsets[i] : offsets[i + 1]], a, rtol=1e-4)
+        np.testing.assert_allclose(scores[i], 1 / (1 + np.exp(-(sum(w * v for w, v in zip(a, m)) @ p["c"] + p["d"][0]))), rtol=1e-4)
+
+
+def test_attention_finds_the_passage_that_decides():
+    """Documents of many passages of which one is bad: their label hangs on it, and nearly all weight must."""
+    rng = random.Random(5)
+
+    def some(n):
+        texts, labels, at = [], [], []
+        for _ in range(n):
+            parts = [[rng.choice(["lor", "nem", "tis", "bade", "dilor", "mod"]) for _ in range(quality.PASSAGE)] for _ in range(rng.randint(5, 12))]
+            k, bad = rng.randrange(len(parts)), rng.random() < 0.5
+            if bad:
+                parts[k] = [w + "$$" if rng.random() < 0.3 else w for w in parts[k]]
+            texts.append(" ".join(w for p in parts for w in p))
+            labels.append(0.0 if bad else 1.0)
+            at.append(k)
+        x, offsets = quality.passages(texts)
+        return x, offsets, np.array(labels), at
+
+    x, offsets, y, _ = some(600)
+    model = quality.GatedAttention.fit([x[a:b] for a, b in zip(offsets[:-1], offsets[1:])], y)
+    x, offsets, y, at = some(200)
+    assert ((model.score(x, offsets) >= 0.5) == y).mean() > 0.97
+    weights = model.attention(x, offsets)
+    of_bad = [weights[offsets[i] + at[i]] for i in np.flatnonzero(y == 0)]
+    assert np.median(of_bad) > 0.6 and np.mean([w > 0.3 for w in of_bad]) > 0.95  # uniform: 0.08 to 0.2
+
+
+def test_isotonic_fit_pools_ties_and_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 10, 60):
+        raw, y = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float)
+        got = toxicity.Isotonic(raw, y)
+        order = rng.permutation(n)
+        again = toxicity.Isotonic(raw[order], y[order])
+        assert np.allclose(got.x, again.x) and np.allclose(got.y, again.y)
+        u = np.unique(raw)
+        sums = [(y[raw == v].sum(), (raw == v).sum()) for v in u]
+        fit = [max(min(sum(s for s, _ in sums[i : j + 1]) / sum(c for _, c in sums[i : j + 1]) for j in range(k, len(u))) for i in range(k + 1)) for k in range(len(u))]
+        assert np.allclose(got(u), fit)  # min-max formula of isotonic means
+        assert np.all(np.diff(got(np.linspace(-1, 13, 50))) >= 0)
+    ties = [toxicity.Isotonic(np.zeros(10), np.array(y))(np.zeros(1))[0] for y in ([1.0] + [0.0] * 9, [0.0] * 9 + [1.0])]
+    assert ties == [0.1, 0.1]
+
+
+def test_toxic_features_and_trees_equal_brute_force():
+    lexicon = toxicity.Lexicon([(np.sort(words.hash_words([b"grum snod"])[0]), np.array([9, 9]), np.array([0, 1])), (np.zeros(0, np.uint64),) * 3], 20, 80)
+    texts = ["you GRUM, grum! a snod b", "gr.um 5n0d", "", None, "nothing here", "grum " * 50 + "you"]
+    x = toxicity.features(texts, lexicon)
+    odds = {int(h): o for h, o in zip(*lexicon.tables[0])}
+    for t, row in zip(texts, x):
+        plain = (t or "").encode().translate(toxicity._LOOKS, toxicity._MARKS).split()
+        found = [(i, odds[int(words.hash_words([w])[0][0])]) for i, w in enumerate(plain) if int(words.hash_words([w])[0][0]) in odds]
+        people = [i for i, w in enumerate(plain) if w.decode() in toxicity.SECOND_PERSON]
+        assert row[0] == len(found) and np.isclose(row[1], 100 * sum(o for _, o in found) / max(1, len(plain)))
+        assert np.isclose(row[2], max((o for _, o in found), default=0)) and row[6] == len({plain[i] for i, _ in found})
+        assert np.isclose(row[7], max((1 / (1 + abs(i - j)) for i, _ in found for j in people), default=0))
+        assert np.isclose(row[8], sum(c.isascii() and c.isupper() for c in t or "") / max(1, len((t or "").encode())))
+    rng = np.random.default_rng(7)
+    z = rng.standard_normal((400, 3))
+    y = ((z[:, 0] > 0) & (z[:, 1] > 0)).astype(float)
+    trees = toxicity.Trees(z, y)
+    raw = trees.raw(z)
+    for i in range(0, 400, 40):
+        total = trees.base
+        for feature, cut, leaf in trees.trees:
+            node = 0
+            for level in range(toxicity.DEPTH):
+                at = 2**level - 1 + node
+                j = feature[at]
+                node = 2 * node + (np.searchsorted(trees.edges[j], z[i, j], "left") > cut[at])
+            total += leaf[node]
+        assert np.isclose(total, raw[i])
+    assert ((raw > 0) == y).mean() > 0.97
+
+
 def test_near_copies_never_share_a_bin(spark, tmp_path):
     words = [[f"{c}{k}" for k in range(80)] for c in "abcdefgh"]
     rows = [(100 * g + i, " ".join(w if k != i else f"new{i}" for k, w in enumerate(ws)), None if i % 2 else f"s{i}") for g, ws in enumerate(words) for i in (0, 20, 39)]
