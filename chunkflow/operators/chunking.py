@@ -74,14 +74,17 @@ def word_chunks(docs: DataFrame, size: int, column: str = "raw") -> DataFrame:
 def select_chunks(chunks: DataFrame, wanted: list[int] | None) -> DataFrame:
     """The wanted chunks of every document, in the order of the list and numbered anew; duplicates are allowed.
 
-    No list: all chunks. A document that lacks one of them has no rows. A negative index is an error.
+    No list: all chunks. A document that lacks one of them has no rows. A negative index is an error, once a document
+    has all the others.
     """
     if not wanted:
         return chunks
-    if min(wanted) < 0 :
+    if max(wanted) < 0:
         raise IndexError("negative chunk index")
     listed = F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), F.lit(i).alias("i")) for p, i in enumerate(wanted))))
     plan = chunks.sparkSession.range(1).select(listed.alias("w")).select("w.pos", "w.i")
     enough = chunks.groupBy("doc_id").agg(F.max("chunk_index").alias("top")).where(F.col("top") >= max(wanted)).select("doc_id")
+    if min(wanted) < 0:
+        return chunks.join(enough, "doc_id", "left_semi").select("doc_id", "chunk_index", F.coalesce(F.raise_error(F.lit("negative chunk index")).cast("string"), "text").alias("text"))
     some = chunks.where(F.col("chunk_index").isin(list(set(wanted)))).join(F.broadcast(plan), F.col("i") == F.col("chunk_index"))
     return some.join(enough, "doc_id", "left_semi").select("doc_id", F.col("pos").alias("chunk_index"), "text")

@@ -25,8 +25,8 @@ def styled(blocks: DataFrame, font: FontOptions = FontOptions()) -> DataFrame:
         pick(F.lit("bold"), F.lit("bold"), F.lit("regular")).alias("font"),
         pick(F.lit("center"), F.lit("left"), F.lit("justified")).alias("align"),
         pick(F.lit(0.0), F.lit(0.0), F.lit(float(font.first_line_indent))).alias("indent"),
-        pick(F.lit(8.0), F.lit(6.0), F.lit(0.0)).alias("space_before"),
-        pick(F.lit(10.0), F.lit(6.0), F.lit(0.0)).alias("space_after"),
+        pick(F.lit(float(font.space_before) + 8), F.lit(float(font.space_before) + 6), F.lit(0.0)).alias("space_before"),
+        pick(F.lit(float(font.space_after) + 10), F.lit(float(font.space_after) + 6), F.lit(0.0)).alias("space_after"),
         F.lit(float(font.leading_multiplier)).alias("leading"),
         pick(F.lit(False), F.lit(False), F.lit(True)).alias("hyphenate"),
     )

@@ -11,6 +11,7 @@ from .functions.text import normalize, preprocess, sanitize_output, utf16_length
 from .operators import attempts, chunking, layout, merging, structure, validation
 from .plans.translate import Pipeline, extract, reject_empty, upper
 from .rows import EDGE_ROWS, ERRORS, SIZES, TAGGED, VALIDATION_ROWS
+from .sources import checkpoint, sinks
 
 MIN_CHARS, MIN_RATIO = 400, 4.0
 
@@ -94,7 +95,7 @@ def options_cache_key(spark, d):
 
 
 def checkpoint_paths(spark, d):
-    p = lambda kind: F.format_string(f"%05d.{kind}", "doc_id")
+    p = lambda kind: checkpoint.chunk_file(F.col("doc_id"), kind)
     ids = _table(spark, d, "documents").select("doc_id").union(spark.range(123456, 123457))
     return ids.select("doc_id", p("input.txt").alias("input"), p("output.txt").alias("output"), p("error.json").alias("error"))
 
@@ -113,7 +114,7 @@ def enum_lookup(spark, d):
 
 
 def sink_choice(spark, d):
-    return _fixed(spark, ["pdf", "PDF", "txt", "docx", "", None], "format string").select("id", F.when(F.lower("format") == "pdf", "pdf").otherwise("txt").alias("sink"))
+    return _fixed(spark, ["pdf", "PDF", "txt", "docx", "", None], "format string").select("id", sinks.sink_format(F.col("format")).alias("sink"))
 
 
 def render_prompt(spark, d):

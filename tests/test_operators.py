@@ -3,6 +3,11 @@
 import json
 import random
 import re
+import threading
+import time
+import zlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 from chunkflow.config import FontOptions, ModelOptions, TranslationOptions, load
 from chunkflow.functions.text import normalize, preprocess, sanitize_output, utf16_length
 from chunkflow.operators import attempts, chunking, structure, validation
-from chunkflow.plans.rounds import QuotaError, run_rounds
+from chunkflow.plans.rounds import Cancellation, Cancelled, QuotaError, run_rounds, translate_over_http
 from chunkflow.plans.translate import Pipeline, upper
 from chunkflow.sources import backend, pdf, sinks
 from chunkflow.sources.checkpoint import CheckpointStore
@@ -73,6 +78,9 @@ def test_select_chunks(spark):
     assert len(pick([])) == len(pick(None)) == 6
     with pytest.raises(IndexError):
         chunking.select_chunks(chunks, [-1])
+    assert pick([-1, 99]) == []
+    with pytest.raises(Exception, match="negative chunk index"):
+        pick([-1, 2])
 
 
 def test_text_rules(spark):
@@ -180,6 +188,97 @@ def test_rounds_resume_and_quota(spark, tmp_path):
     assert other.outputs().count() == 2 and other.manifest_items().count() == 0
 
 
+def test_runs_replace_their_own_chunks_only(spark, tmp_path):
+    chunks = lambda d, t="some text": spark.createDataFrame([(d, i, t) for i in range(2)], "doc_id string, chunk_index int, text string")
+    store = CheckpointStore(spark, f"file://{tmp_path}/s")
+    anew, resumed = TranslationOptions(target_language="de", resume=False), TranslationOptions(target_language="fr")
+    for text in (GOOD, GOOD + " again"):
+        run_rounds(chunks("d"), store, scripted({("d", 0): [(text, None)], ("d", 1): [(None, " 400")]}), anew, "d.pdf")
+    assert [(r.chunk_index, r.output) for r in store.outputs().collect()] == [(0, GOOD + " again")]
+    run_rounds(chunks("e", "other"), store, scripted({("e", 0): [(GOOD, None)], ("e", 1): [(None, "x 400")]}), resumed, "e.pdf")
+    got = {(r.doc_id, r.chunk_index): (r.status, r.output, r.attempts) for r in run_rounds(chunks("d"), store, scripted({("d", 1): [(GOOD, None)]}), resumed, "d2.pdf").collect()}
+    assert got == {("d", 0): ("Success", GOOD + " again", 0), ("d", 1): ("Success", GOOD, 1)}
+    assert {(r.doc_id, r.chunk_index): r.status for r in store.manifest_items().collect()} == {("d", 0): 1, ("d", 1): 1, ("e", 0): 1, ("e", 1): 2}
+    manifests = {r.doc_id: json.loads(r.manifest) for r in store.manifests().collect()}
+    assert (manifests["d"]["sourcePdfPath"], manifests["e"]["targetLanguage"], len(manifests["d"]["items"])) == ("d2.pdf", "fr", 2)
+    assert {(r.doc_id, json.loads(r.record)["error"]) for r in store.errors().collect()} == {("d", " 400"), ("e", "x 400")}
+    assert {(r.doc_id, r.chunk_index): r.text for r in store.inputs().collect()} == {("d", 0): "some text", ("d", 1): "some text", ("e", 0): "other", ("e", 1): "other"}
+
+
+def test_answers_outlive_a_run_that_is_killed(spark, tmp_path):
+    """A worker dies in the middle of a round: what was answered before is not asked for again."""
+    calls, done = tmp_path / "calls", TranslationOptions(target_language="de", max_degree_of_parallelism=1)
+    calls.touch()
+
+    def transport(fatal):
+        def send(url, headers, body):
+            import os
+
+            text = json.loads(body)["input"][1]["content"][-2:]
+            with open(calls, "a") as f:
+                f.write(text + " ")
+            if text == fatal:
+                os._exit(1)
+            return 200, json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": GOOD if text != "t1" or calls.read_text().count("t1") > 1 else "short"}]}]})
+
+        return send
+
+    chunks = spark.createDataFrame([("d", i, f"some text t{i}") for i in range(6)], "doc_id string, chunk_index int, text string").coalesce(1)
+    store = CheckpointStore(spark, f"file://{tmp_path}/k")
+    with pytest.raises(Exception):  # noqa: B017
+        translate_over_http(chunks, store, done, ModelOptions(), transport=transport("t4"), sleep=lambda s: None, key="k")
+    before = Counter(calls.read_text().split())
+    assert before["t4"] >= 1 and store.outputs().count() == 0
+    got = translate_over_http(chunks, store, done, ModelOptions(), transport=transport(None), sleep=lambda s: None, key="k")
+    assert {r.chunk_index: r.status for r in got.collect()} == {i: "Success" for i in range(6)}
+    after = Counter(calls.read_text().split())
+    assert sum(before.values()) - before["t4"] >= 1
+    for t in before:  # t1's short answer is asked for again, the others are read back
+        assert after[t] - before[t] == {"t4": 1, "t1": 1}.get(t, 0), (before, after)
+
+
+def test_cancellation(spark, tmp_path):
+    chunks = spark.createDataFrame([("d", i, "some text") for i in range(3)], "doc_id string, chunk_index int, text string")
+    store, c = CheckpointStore(spark, f"file://{tmp_path}/c"), Cancellation()
+    script = {("d", 0): [(GOOD, None)], ("d", 1): [(None, "e")] * 3, ("d", 2): [(GOOD, None)]}
+
+    def sleep(seconds):
+        c.cancel()
+        c.wait(seconds)
+
+    with pytest.raises(Cancelled):
+        run_rounds(chunks, store, scripted(script), TranslationOptions(), sleep=sleep, cancellation=c)
+    assert store.outputs().count() == 2 and store.manifest_items().count() == 0
+    with pytest.raises(Cancelled):
+        run_rounds(chunks, store, scripted(script), TranslationOptions(), cancellation=c)
+    again = run_rounds(chunks, store, scripted({("d", 1): [(GOOD, None)]}), TranslationOptions())
+    assert {r.chunk_index: r.attempts for r in again.collect()} == {0: 0, 1: 1, 2: 0}
+    slow, began = Cancellation(), time.time()
+    threading.Timer(3, slow.cancel).start()
+    stuck = lambda todo, attempt: todo.mapInPandas(lambda it: (time.sleep(60) or f for f in it), todo.schema).selectExpr("*", "text output", "string(null) error")
+    with pytest.raises(Cancelled):
+        run_rounds(chunks, CheckpointStore(spark, f"file://{tmp_path}/x"), stuck, TranslationOptions(), cancellation=slow)
+    assert time.time() - began < 50
+
+
+def test_legacy_outputs(spark, tmp_path):
+    for i in (0, 12):
+        (tmp_path / f"{i:05d}.output.txt").write_text(f"text {i}\nline")
+    (tmp_path / "00001.input.txt").write_text("no")
+    store = CheckpointStore(spark, f"file://{tmp_path}/s")
+    assert {r.chunk_index: r.output for r in store.legacy_outputs(f"file://{tmp_path}").collect()} == {0: "text 0\nline", 12: "text 12\nline"}
+
+
+def test_names_of_files_do_not_clash(spark, tmp_path):
+    ids = ["a/x.pdf", "b/x.pdf", "b/X.txt", "report.2023", "report.2024", "über alles.pdf", "one"]
+    sinks.write_text(spark.createDataFrame([(i, f"of {i}") for i in ids], "doc_id string, merged string"), str(tmp_path))
+    files = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    assert sorted(files.values()) == sorted(f"of {i}" for i in ids) and {"one.txt", "über_alles.txt"} <= set(files)
+    results = spark.createDataFrame([(d, 0, "Failed", None, "why", 1) for d in ("a/x.pdf", "b/x.pdf")], "doc_id string, chunk_index int, status string, output string, error string, attempts int")
+    sinks.write_review(results, f"{tmp_path}/r")
+    assert len(list((tmp_path / "r").glob("x-*_TO_REVIEW.txt"))) == 2
+
+
 def test_http_backend(spark):
     answers, waits = [(500, "no"), (200, "{}"), (200, json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": " ok "}, {"type": "refusal", "text": "n"}]}]}))], []
     assert backend.call("t", "de", ModelOptions(), "k", lambda *a: answers.pop(0), waits.append) == "ok"
@@ -214,6 +313,64 @@ def test_sinks_and_pdf(spark, tmp_path):
     assert pdf.document([], FontOptions(page_size="none"))[:5] == b"%PDF-"
 
 
+STYLE = {"font_size": 12.0, "align": "justified", "indent": 20.0, "space_before": 0.0, "space_after": 0.0, "leading": 1.2, "hyphenate": True, "font": "regular"}
+FONTS = Path("/usr/share/fonts/truetype/dejavu")
+
+
+@pytest.mark.skipif(not FONTS.exists(), reason="no TrueType file")
+def test_pdf_with_embedded_fonts_keeps_any_text():
+    font = FontOptions(regular_font_style=f"{FONTS}/DejaVuSerif.ttf", bold_font_style=f"{FONTS}/DejaVuSerif-Bold.ttf")
+    words = "Azərbaycan dili gözəl ƏÖÜĞİŞÇ Русский ελληνικά".split()
+    rng = random.Random(1)
+    text = " ".join(rng.choice(words) for _ in range(900))
+    data = pdf.document([STYLE | {"text": "Başlıq İ", "font": "bold", "align": "center"}, STYLE | {"text": text, "hyphenate": False}], font)
+    pages = pdf.page_texts(data)
+    assert len(pages) > 1 and pages[0].startswith("Başlıq İ\n")
+    assert " ".join("\n".join(pages).split()[2:]) == text
+    joined = re.sub(r"-\n", "", "\n".join(pdf.page_texts(pdf.document([STYLE | {"text": text}], font))))
+    assert " ".join(joined.split()) == text
+    with pytest.raises(ValueError, match="has no"):
+        pdf.document([STYLE | {"text": "漢"}], font)
+    with pytest.raises(ValueError, match="TrueType"):
+        pdf.document([STYLE | {"text": "gözəl"}])
+
+
+def test_divided_words():
+    assert pdf.divisions("winter") == [3] and pdf.divisions("at") == [] and pdf.divisions("well-known") == [5]
+    assert all(3 <= i <= len(w) - 3 for w in ("internationalisation", "hyper\u00adactive", "consonant") for i in pdf.divisions(w))
+    lines = pdf._lines("x" * 300 + " winter winter", pdf._Standard(b"Times"), 12.0, 100.0, 0.0, True)
+    assert "".join("".join(line) for line in lines).replace("-", "") == "x" * 300 + "winterwinter"
+
+
+def pdf_of(objects, streams=()):
+    """A file of numbered bodies; streams are compressed."""
+    out = b"%PDF-1.5\n"
+    for n, body in objects.items():
+        out += b"%d 0 obj %s endobj\n" % (n, body)
+    for n, (head, body) in dict(streams).items():
+        body = zlib.compress(body)
+        out += b"%d 0 obj <<%s/Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream endobj\n" % (n, head, len(body), body)
+    return out
+
+
+def test_pdf_reader_follows_the_page_tree_and_maps():
+    cmap = b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <41> <43> <0259> endbfrange 2 beginbfchar <61> <0066006C> <62> <D83DDE00> endbfchar"
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[9 0 R 3 0 R]/Resources<</Font<</F 8 0 R/G 12 0 R>>>>>>", 3: b"<</Type/Page/Contents[4 0 R 5 0 R]>>",
+        9: b"<</Type /Page % first page \n /Contents 7 0 R>>", 8: b"<</Type/Font/Subtype/TrueType/ToUnicode 6 0 R>>", 12: b"<</Subtype/Type1/Encoding<</Differences[65/uni018F/fi]>>>>",
+    }
+    streams = {4: (b"", b"BT /F 12 Tf 0 700 Td <41 42> Tj"), 5: (b"", b"0 -14 Td [(a) -300 (b)] TJ T* (C) ' ET"), 6: (b"", cmap), 7: (b"", rb"BT /G 9 Tf 1 0 0 1 5 5 Tm (A\102 \(nested (x)\)) Tj ET q BI /W 1 ID xx EI Q")}
+    data = pdf_of(objects, streams) + b"trailer<</Root 1 0 R>>"
+    assert pdf.page_texts(data) == ["Əfi (nested (x))", "əɚ\nfl 😀\nɛ"]
+    packed = b"".join(b"%d %d " % (n, sum(len(objects[k]) + 1 for k in list(objects)[:i])) for i, n in enumerate(objects))
+    bodies = b"".join(b + b" " for b in objects.values())
+    inside = {20: (b"/Type/ObjStm/N %d/First %d" % (len(objects), len(packed)), packed + bodies), 21: (b"/Type/XRef/Root 1 0 R", b"")}
+    assert pdf.page_texts(pdf_of({}, streams | inside)) == pdf.page_texts(data)
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.page_texts(data.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt 5 0 R"))
+    assert pdf.page_texts(b"") == []
+
+
 def test_stream(spark, tmp_path):
     from chunkflow.streaming.incremental import pages_stream, translate_stream
 
