@@ -7,6 +7,8 @@ import re
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+from .yaml import read_yaml
+
 #: Fixed value: the default system prompt's placeholder.
 LANGUAGE_MARK = "{{ target_language }}"
 
@@ -83,59 +85,11 @@ class Options:
     testing: TestingOptions = field(default_factory=TestingOptions)
 
 
-def read_yaml(text: str) -> dict:
-    """The subset of YAML that option files use: nested maps, scalars, block strings (|-) and lists of scalars."""
-    lines = text.split("\n")
-
-    def indent(s: str) -> int:
-        return len(s) - len(s.lstrip(" "))
-
-    def blank(s: str) -> bool:
-        return not s.strip() or s.strip().startswith("#")
-
-    def parse(i: int, level: int) -> tuple[dict | list, int]:
-        out: dict | list = {}
-        while i < len(lines):
-            line = lines[i]
-            if blank(line):
-                i += 1
-                continue
-            if indent(line) < level:
-                break
-            body = line.strip()
-            if body.startswith("- "):
-                out = [*(out or []), body[2:].strip().strip("\"'")]
-                i += 1
-                continue
-            name, _, value = body.partition(":")
-            value = value.strip()
-            i += 1
-            if value in ("|", "|-"):
-                block, inner = [], None
-                while i < len(lines) and (not lines[i].strip() or indent(lines[i]) > level):
-                    inner = indent(lines[i]) if inner is None and lines[i].strip() else inner
-                    block.append(lines[i][inner or 0 :])
-                    i += 1
-                out[name.strip()] = "\n".join(block).rstrip("\n") + ("\n" if value == "|" else "")
-            elif value:
-                out[name.strip()] = value.strip("\"'")
-            else:
-                j = i
-                while j < len(lines) and blank(lines[j]):
-                    j += 1
-                if j < len(lines) and (indent(lines[j]) > level or lines[j].strip().startswith("- ")):
-                    out[name.strip()], i = parse(j, indent(lines[j]))
-                else:
-                    out[name.strip()] = None
-        return out, i
-
-    return parse(0, 0)[0]
-
-
-def _flat(d: dict, prefix: str = "") -> dict[str, object]:
+def _flat(d: dict | list, prefix: str = "") -> dict[str, object]:
+    """Keys like section:name, and section:name:0 for items of lists."""
     out: dict[str, object] = {}
-    for k, v in d.items():
-        out |= _flat(v, f"{prefix}{k}:") if isinstance(v, dict) else {f"{prefix}{k}".lower(): v}
+    for k, v in d.items() if isinstance(d, dict) else enumerate(d):
+        out |= _flat(v, f"{prefix}{k}:") if isinstance(v, (dict, list)) else {f"{prefix}{k}".lower(): v}
     return out
 
 
@@ -146,8 +100,8 @@ def _typed(cls, given: dict[str, object], section: str):
         if f.name == "margins":
             values[f.name] = _typed(Margins, given, f"{section}:margins")
         elif f.name == "test_chunks":
-            found = given.get(key) or [v for k, v in sorted(given.items()) if k.startswith(f"{key}:")]
-            values[f.name] = tuple(int(x) for x in found)
+            items = {int(k.rpartition(":")[2]): v for k, v in given.items() if re.fullmatch(rf"{key}:\d+", k)}
+            values[f.name] = tuple(int(items[i]) for i in sorted(items))
         elif given.get(key) is not None:
             kind = type(f.default)
             values[f.name] = str(given[key]).lower() == "true" if kind is bool else kind(given[key])

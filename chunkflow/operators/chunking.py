@@ -29,21 +29,34 @@ def pack_paragraphs(text: Column, limit: int) -> Column:
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    unit = lambda x, big, p: F.struct(x.alias("x"), F.lit(big).alias("big"), p.alias("p"))
+    unit = lambda x, big, p: F.struct(x.alias("x"), F.lit(big).alias("big"), p.alias("p"), utf16_length(x).alias("n"))
     sentences = lambda p: F.split(p, rf"(?<=[.!?]){WS}+", -1)
     units = F.flatten(F.transform(paragraphs(text), lambda p, i: F.when(utf16_length(p) > limit, F.transform(sentences(p), lambda s: unit(s, True, i))).otherwise(F.array(unit(p, False, i)))))
-    state = lambda done, cur, big, p: F.struct(done.alias("done"), cur.alias("cur"), big.alias("big"), p.alias("p"))
-    start = state(F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(False), F.lit(-1))
-
-    def step(s: Column, u: Column) -> Column:
-        gap = F.when(u["big"], " ").otherwise("\n\n")
-        room = utf16_length(s["cur"]) + F.length(gap) + utf16_length(u["x"]) <= limit
-        fits = (s["big"] == u["big"]) & (~u["big"] | (s["p"] == u["p"])) & room
-        done = F.when(s["cur"].isNull() | fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
-        return state(done, F.when(s["cur"].isNotNull() & fits, F.concat(s["cur"], gap, u["x"])).otherwise(u["x"]), u["big"], u["p"])
-
-    end = lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
-    return F.filter(F.aggregate(units, start, step, end), lambda c: ~is_blank(c))
+    gap = lambda big: F.when(big, " ").otherwise("\n\n")
+    state = lambda starts, n, at: F.struct(starts.alias("starts"), n.alias("n"), at.alias("at"))
+
+    def chunks(us: Column) -> Column:
+        """The places where chunks start come first, from lengths alone; then the units between them are joined."""
+
+        def step(s: Column, u: Column) -> Column:
+            before = F.element_at(us, s["at"])  # the unit before this one, counted from 1
+            n = s["n"] + F.length(gap(u["big"])) + u["n"]
+            fits = (s["at"] > 0) & (before["big"] == u["big"]) & (~u["big"] | (before["p"] == u["p"])) & (n <= limit)
+            here = s["at"] + 1
+            return F.when(fits, state(s["starts"], n, here)).otherwise(state(F.concat(s["starts"], F.array(here)), u["n"], here))
+
+        start = state(F.array().cast("array<int>"), F.lit(0), F.lit(0))
+        starts = F.aggregate(us, start, step, lambda s: s["starts"])
+
+        def cut(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.size(us) + 1), F.array(F.size(us) + 1))
+            texts = lambda a, e: F.transform(F.slice(us, a, e - a), lambda u: u["x"])
+            joined = lambda a, e: F.when(F.element_at(us, a)["big"], F.array_join(texts(a, e), " ")).otherwise(F.array_join(texts(a, e), "\n\n"))
+            return F.zip_with(at, ends, lambda a, e: F.when(a.isNotNull(), joined(a, e)))
+
+        return F.transform(F.array(starts), lambda at: F.filter(cut(at), lambda c: ~is_blank(c)))[0]
+
+    return F.transform(F.array(units), chunks)[0]
 
 
 def pack_words(text: Column, size: int) -> Column:

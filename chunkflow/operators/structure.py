@@ -44,14 +44,15 @@ def blocks(docs: DataFrame, column: str = "content") -> DataFrame:
     d = d.withColumn("over", F.coalesce(F.max(F.col("closes") == F.col("seg_kind")).over(segment), F.lit(False)))
     end = F.expr("locate(concat('</', lower(opens), '>'), lower(body))")
     inline = F.when(end > 0, trim(F.concat("bullet", F.expr("substring(body, 1, locate(concat('</', lower(opens), '>'), lower(body)) - 1)")))).otherwise(trim(F.concat("bullet", "body")))
-    whole = d.where("opens is not null and body <> ''").select("doc_id", "line_no", F.col("opens").alias("kind"), inline.alias("text")).where("text <> ''")
-    rest = d.where("opens is null and closes is null")
-    loose = rest.where("seg_kind is null or over").select("doc_id", "line_no", F.lit("P").alias("kind"), clean(line).alias("text"))
-    inside = rest.where("seg_kind is not null and not over").groupBy("doc_id", "seg").agg(
-        F.min("line_no").alias("line_no"), F.first("seg_kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("text")
-    )
-    inside = inside.select("doc_id", "line_no", "kind", clean(F.col("text")).alias("text")).where("text <> ''")
-    return whole.unionByName(loose).unionByName(inside)
+    d = d.where("(opens is not null and body <> '') or (opens is null and closes is null)")
+    whole = F.col("opens").isNotNull()
+    inside = ~whole & F.col("seg_kind").isNotNull() & ~F.col("over")
+    d = d.select("doc_id", "line_no", whole.alias("whole"), inside.alias("inside"), F.when(whole, F.col("opens")).when(inside, F.col("seg_kind")).otherwise("P").alias("kind"), F.when(whole, inline).otherwise(line).alias("part"), F.when(inside, -F.col("seg")).otherwise(F.col("line_no")).alias("block"))
+    # lines of one block have the number of its segment, others their own; the windows' partitioning by document serves
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda x: x["part"])
+    g = d.groupBy("doc_id", "block").agg(F.min("line_no").alias("line_no"), F.first("kind").alias("kind"), F.first("whole").alias("whole"), F.first("inside").alias("inside"), F.array_join(parts, " ").alias("joined"))
+    g = g.select("doc_id", "line_no", "kind", F.when(F.col("whole"), F.col("joined")).otherwise(clean(F.col("joined"))).alias("text"), (F.col("whole") | F.col("inside")).alias("drops"))
+    return g.where("text <> '' or not drops").drop("drops")
 
 
 def effective_kind(kind: Column, text: Column) -> Column:

@@ -19,6 +19,7 @@ from chunkflow.plans.rounds import Cancellation, Cancelled, QuotaError, run_roun
 from chunkflow.plans.translate import Pipeline, upper
 from chunkflow.sources import backend, pdf, sinks
 from chunkflow.sources.checkpoint import CheckpointStore
+from chunkflow.yaml import read_yaml
 
 
 def model_chunks(text, limit):
@@ -83,6 +84,57 @@ def test_select_chunks(spark):
         pick([-1, 2])
 
 
+def test_chunking_time_is_in_proportion(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "\n\n".join(f"paragraph {i}" for i in range(n)))], "doc_id int, raw string")
+        chunking.paragraph_chunks(df, 10**6).collect()
+        began = time.time()
+        assert len(chunking.paragraph_chunks(df, 10**6).collect()) == 1
+        return time.time() - began
+
+    assert seconds(8000) < 12 * max(seconds(2000), 0.2)
+
+
+def test_blocks_need_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "<P>x")], "doc_id int, content string")
+    plan = structure.blocks(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Union" not in plan
+
+
+def test_yaml():
+    text = """
+    # options
+    A:
+      B: 5 # five
+      C: "x # y: \\"q\\" \\u00e9"
+      D: 'it''s'
+      L: [1, 2, "a, b", {x: 1}]
+      M: {a: 1, b: ~}
+      N:
+      - 3
+      - k: v
+        w: 2
+      E:
+      url: https://x.y:80/z#frag
+      F: >-
+        folded
+        text
+
+        para
+      G: |
+        lit # text
+          more
+    """
+    import textwrap
+
+    got = read_yaml(textwrap.dedent(text))["A"]
+    assert got == {"B": "5", "C": 'x # y: "q" é', "D": "it's", "L": ["1", "2", "a, b", {"x": "1"}], "M": {"a": "1", "b": None}, "N": ["3", {"k": "v", "w": "2"}], "E": None, "url": "https://x.y:80/z#frag", "F": "folded text\npara", "G": "lit # text\n  more\n"}
+    assert read_yaml("") == {} and read_yaml("---\na: 1\n---\nb: 2") == {"a": "1"}
+    for bad in ("a: [1, 2", "a:\n  b: 1\n c: 2"):
+        with pytest.raises(ValueError):
+            read_yaml(bad)
+
+
 def test_text_rules(spark):
     cases = {"a\r\nb\rc": "a b c", "certifi-\ncate": "certificate", "a-\nb-\nc": "ab- c", "x\n\n\n\ny": "x\n\ny", "a1b2c3d4": "a1 b2 c3 d4", "U.S.A. ok": "U. S. A. ok", " \t ": " \t ", "9ıx": "9ıx", "\xa0pad　": "pad", "12ab\n34cd": "12 ab 34 cd"}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "raw string, want string")
@@ -297,6 +349,9 @@ def test_config_layers(tmp_path):
     (tmp_path / "c.yml").write_text("OpenAI:\n  Model: m\n  SystemPrompt: |-\n    line one\n\n    - line two\nTranslation:\n  MaxCharsPerChunk: 5\n  Resume: true\nFont:\n  Margins:\n    Top: 1\nTesting:\n  TestChunks:\n   - 3\n   - 0\n")
     o = load(tmp_path / "c.yml", {"Translation__MaxCharsPerChunk": "6", "OpenAI__Model": "n"}, ["--Translation:MaxCharsPerChunk=7", "--Translation:Resume", "false"])
     assert (o.openai.model, o.openai.system_prompt, o.translation.max_chars_per_chunk, o.translation.resume, o.font.margins.top, o.testing.test_chunks) == ("n", "line one\n\n- line two", 7, False, 1.0, (3, 0))
+    (tmp_path / "d.yml").write_text("Translation:\n  MaxCharsPerChunk: 5 # c\nTesting: {TestChunks: [1, 2]}\n")
+    o = load(tmp_path / "d.yml", {"Testing__TestChunks__1": "7"})
+    assert (o.translation.max_chars_per_chunk, o.testing.test_chunks) == (5, (1, 7))
     with pytest.raises(FileNotFoundError):
         load(tmp_path / "none.yml")
 
