@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved, table
-from .vectors import k_means, matrix, nearest, squared, usable
+from .vectors import k_means, nearest, squared, usable
 
 #: Rows that the coarse centres and the codebooks are fitted on, at most. Every row is indexed.
 SAMPLE = 20_000
 #: Subspaces of a residual code and codewords of each.
 SUBSPACES, CODEWORDS = 8, 64
 MOST_CELLS = 1024
-#: Rows of an inverted list in one task.
-BLOCK = 2_000
+#: Rows of an inverted list in one task, and rows that ask them.
+BLOCK, ASKING = 2_000, 20_000
 
 
 class Codes:
@@ -70,15 +68,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
-    at = list(range(n))
-    for a, b in pairs:
-        while at[a] != a:
-            at[a] = a = at[at[a]]
-        while at[b] != b:
-            at[b] = b = at[at[b]]
-        at[max(a, b)] = min(a, b)
-    return at
+def _packed(v) -> bytes:
+    """The components as 4 bytes each where that loses nothing, else as 8."""
+    x = np.asarray(v, "<f8")
+    small = x.astype("<f4")
+    return small.tobytes() if np.array_equal(small, x) else x.tobytes()
+
+
+def _unpacked(raws, dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8") for r in raws]).astype(np.float64) if len(raws) else np.zeros((0, dim))
 
 
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -88,8 +86,8 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> Da
     threshold. Equal vectors become one representative with a count. Each representative is stored in the inverted list
     of its nearest coarse centre as a residual code, and asks every list that can hold a vector within reach. Table
     distances that exceed the reach by more than the code's own error rule a vector out; the cosine of the original
-    vectors decides on the rest, so nothing over the threshold is lost. Lists are dealt out in blocks, and a block
-    returns counts of links and a spanning forest, not pairs.
+    vectors decides on the rest, so nothing over the threshold is lost. Lists are dealt out in blocks and so are those
+    that ask them, and a block returns counts of links and a spanning forest, made while it compares, not pairs.
 
     Vectors null, zero or with null or non-finite components and null labels: no links, own component. Null ids: null
     component, kept. Rows that repeat an id each count. Other columns are ignored.
@@ -135,45 +133,52 @@ def _search(data: DataFrame, model, width: int, threshold: float) -> DataFrame:
                 x[i, : len(v)] = v
             x = model.value.padded(_unit(x))
             cell, code, left_out = model.value.encode(x)
-            yield pd.DataFrame({"rep": f["rep"], "m": f["m"], "g": f["g"], "vec": f["vec"], "cell": cell, "code": [c.tobytes() for c in code], "err": left_out, "probes": [p.astype(np.int64) for p in model.value.probes(x, cell, radius)]})
-
-    placed = saved(data.mapInPandas(place, "rep long, m long, g string, vec array<double>, cell long, code binary, err double, probes array<long>"), "placed")
-    blocks = placed.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    base = placed.join(blocks, ["g", "cell"]).select("g", "cell", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(True).alias("stored"), "rep", "m", "vec", "code", "err", F.col("cell").alias("own"))
-    ask = placed.select("g", F.explode("probes").alias("cell"), "rep", "m", "vec", "code", "err", F.col("cell").alias("own")).join(blocks, ["g", "cell"])
-    ask = ask.select("g", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("stored"), "rep", "m", "vec", "code", "err", "own")
+            yield pd.DataFrame({"rep": f["rep"], "m": f["m"], "g": f["g"], "vec": [_packed(v) for v in f["vec"]], "cell": cell, "code": [c.tobytes() for c in code], "err": left_out, "probes": [p.astype(np.int64) for p in model.value.probes(x, cell, radius)]})
+
+    placed = saved(data.mapInPandas(place, "rep long, m long, g string, vec binary, cell long, code binary, err double, probes array<long>"), "placed")
+    asking = placed.select("g", F.explode("probes").alias("cell")).groupBy("g", "cell").agg(F.ceil(F.count("*") / ASKING).alias("parts"))
+    blocks = placed.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asking, ["g", "cell"])
+    blocks = saved(blocks, "lists")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).alias("x")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    base = placed.select("g", "cell", "rep", "m", "vec", "code", "err", F.col("cell").alias("own")).join(blocks, ["g", "cell"])
+    base = base.withColumn("block", dealt(F.col("blocks"), 1)).withColumn("part", every("parts")).withColumn("stored", F.lit(True))
+    ask = placed.select("g", F.explode("probes").alias("cell"), "rep", "m", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err"), F.col("cell").alias("own")).join(blocks, ["g", "cell"])
+    ask = ask.withColumn("part", dealt(F.col("parts"), 2)).withColumn("block", every("blocks")).withColumn("stored", F.lit(False))
 
     def compare(key, f):
-        cell = int(key[1])
+        cell, dim = int(key[1]), int(key[0].split(":", 1)[0])
         s, q = f[f["stored"]].sort_values("rep"), f[~f["stored"]].sort_values("rep")
+        if not len(s) or not len(q):
+            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")
         codes = np.frombuffer(b"".join(s["code"]), np.uint8).reshape(len(s), SUBSPACES)
-        a, b = _unit(matrix(q["vec"])), _unit(matrix(s["vec"]))
-        ids, others = q["rep"].to_numpy(), s["rep"].to_numpy()
+        a, b = _unit(_unpacked(q["vec"].tolist(), dim)), _unit(_unpacked(s["vec"].tolist(), dim))
+        ids, others, times_a, times_b = (x.to_numpy() for x in (q["rep"], s["rep"], q["m"], s["m"]))
         reach = (radius + s["err"].to_numpy() + 1e-9) ** 2
         twice = (q["own"].to_numpy() == cell)[:, None]  # pairs of one list meet both ways
         gained_a, gained_b = np.zeros(len(q), np.int64), np.zeros(len(s), np.int64)
-        place_of = {int(x): i for i, x in enumerate(np.unique(np.concatenate([ids, others])))}
-        pairs = []
+        tree, first = np.arange(len(s)), np.full(len(q), -1)  # stored rows that are connected; a stored row of each that asks
         for i in range(0, len(q), 64):
             tables = model.value.tables(model.value.padded(np.pad(a[i : i + 64], ((0, 0), (0, width - a.shape[1])))), cell)
             far = sum(tables[:, j][:, codes[:, j]] for j in range(SUBSPACES))
-            near = (far <= reach) & ~(twice[i : i + 64] & (ids[i : i + 64, None] >= others))
-            x, y = np.nonzero(near)
-            ok = (a[i + x] * b[y]).sum(1) >= threshold
-            x, y = x[ok] + i, y[ok]
-            np.add.at(gained_a, x, s["m"].to_numpy()[y])
-            np.add.at(gained_b, y, q["m"].to_numpy()[x])
-            pairs.append(np.stack([ids[x], others[y]], 1))
-        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        out = [pd.DataFrame({"a": np.concatenate([ids, others]), "b": pd.NA, "n": np.concatenate([gained_a, gained_b])})]
-        out[0] = out[0][out[0]["n"] > 0]
-        names = list(place_of)
-        roots = _roots(len(names), ((place_of[int(p)], place_of[int(r)]) for p, r in pairs))
-        edges = [(names[i], names[r]) for i, r in enumerate(roots) if i != r]
-        out.append(pd.DataFrame(edges, columns=["a", "b"]).assign(n=pd.NA))
-        return pd.concat(out).astype("Int64")[["a", "b", "n"]]
-
-    return base.unionByName(ask).groupBy("g", "cell", "block").applyInPandas(compare, "a long, b long, n long")
+            linked = (far <= reach) & ~(twice[i : i + 64] & (ids[i : i + 64, None] >= others))
+            x, y = np.nonzero(linked)
+            linked[x, y] = (a[i + x] * b[y]).sum(1) >= threshold
+            gained_a[i : i + 64] = linked @ times_b
+            gained_b += times_a[i : i + 64] @ linked
+            for r in np.flatnonzero(linked.any(1)).tolist():
+                mine = np.flatnonzero(linked[r])
+                roots = np.unique(tree[mine])
+                if len(roots) > 1:
+                    tree[np.isin(tree, roots)] = roots[0]
+                first[i + r] = mine[0]
+        asked, inner = np.flatnonzero(first >= 0), np.flatnonzero(tree != np.arange(len(s)))
+        counts = pd.DataFrame({"a": np.concatenate([ids, others]), "b": pd.NA, "n": np.concatenate([gained_a, gained_b])})
+        edges = pd.DataFrame({"a": np.concatenate([ids[asked], others[inner]]), "b": np.concatenate([others[tree[first[asked]]], others[tree[inner]]]), "n": pd.NA})
+        return pd.concat([counts[counts["n"] > 0], edges[edges["a"] != edges["b"]]]).astype("Int64")[["a", "b", "n"]]
+
+    columns = ["g", "cell", "block", "part", "stored", "rep", "m", "vec", "code", "err", "own"]
+    return base.select(columns).unionByName(ask.select(columns)).groupBy("g", "cell", "block", "part").applyInPandas(compare, "a long, b long, n long")
 
 
 def op10_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -60,6 +60,18 @@ def test_embedding_near_duplicates_equal_brute_force(spark):
     assert embedding_dup.embedding_near_duplicates(empty).collect() == []
 
 
+def test_a_dense_list_is_split_on_both_sides(spark, monkeypatch):
+    """Hundreds of different vectors of one group: every pair counts, and no task has them all. Columns clash, ids repeat."""
+    monkeypatch.setattr(embedding_dup, "BLOCK", 50)
+    monkeypatch.setattr(embedding_dup, "ASKING", 70)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(8) + 0.01 * rng.standard_normal((300, 8))
+    rows = [(i, v.tolist(), "a:b", 1, "c") for i, v in enumerate(x)] + [(299, x[299].tolist(), "a:b", 2, "d"), (500, (-x[0]).tolist(), "a:b", 3, "e"), (501, x[0].tolist(), "a", 3, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep long, cell string")
+    got = embedding_dup.embedding_near_duplicates(df).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter([*((i, 300, 0, i == 0) for i in [*range(300), 299]), (500, 0, 500, True), (501, 0, 501, True)])
+
+
 def test_nearest_neighbours(spark):
     rows = vectors(900)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
