@@ -34,7 +34,7 @@ PATTERNS = {
     "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![A-Za-z0-9:])",
     "ip": r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\d)|\+\d{1,3}[ .\-]\d{6,12}(?!\d)|\+\d{8,15}(?!\d)|\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|\d{3}[\-.]\d{3}[\-.]\d{4}(?!\d)",
+    "phone": r"\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}(?!\d|\.\d{1,3}\.\d)){1,4}|\+\d{1,3}[ .\-]\d{6,12}(?!\d)|\+\d{8,15}(?!\d)|\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|\d{3}[\-.]\d{3}[\-.]\d{4}(?!\d)",
     "card": r"(?:[3-6]\d{3}|222[1-9]|22[3-9]\d|2[3-6]\d{2}|27[01]\d|2720)(?:[ \-]?\d{4}){2}(?:[ \-]?\d{1,4})(?![\d])|3\d{3}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "person": rf"(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? {_NAME}(?: {_NAME}){{0,2}}",

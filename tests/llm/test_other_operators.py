@@ -427,6 +427,13 @@ def test_one_phone_in_many_spellings(spark):
     assert len(digits) == 1 and digits != {"15551234567"} and all(n == 1 for _, n in got)
 
 
+def test_a_phone_ends_before_an_address(spark):
+    got = replaced(spark, ["+1 (843) 555-7672 170.106.47.12", "+49 30 1234 567 170.106.47.12", "+1 843.555.7672 10"])
+    assert [n for _, n in got] == [2, 2, 1] and got[2][0].endswith(" 10")
+    for t, _ in got[:2]:
+        assert re.search(r" 10\.\d+\.\d+\.\d+$", t) and "170.106" not in t
+
+
 def test_later_mentions_of_a_name(spark):
     got = replaced(spark, [
         "Mr. John Smith arrived. Later Smith and John Smith left; SMITH's car, Johnny, Smithson and smith stay. John!",
