@@ -11,7 +11,6 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import LANGUAGE_MARK, ModelOptions
