@@ -1,90 +1,148 @@
-"""Elias-Fano sequences over memory-mapped arrays, with access and successor search for many arguments at a time."""
+"""Elias-Fano sequences over memory-mapped arrays: access, successor search and predecessors for many arguments at a time."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Bits of the upper part between two entries of its directory.
-STRIDE = 128
-#: For each byte and k: the place of its k-th set bit.
-_PLACE = np.full((256, 9), 8, np.int64)
-for _b in range(256):
-    _PLACE[_b, : _b.bit_count()] = [i for i in range(8) if _b >> i & 1]
+#: Every so many set (or clear) bits the directory names the word of the next one.
+HINT = 64
+_ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of `width` bits, one after another, and 8 bytes more, so that 8 can be read from any place."""
+    out = np.zeros(-(-(len(values) * width) // 8) + 8, np.uint8)
+    for i in range(0, len(values), 1 << 16):  # a multiple of 8 values: whole bytes
+        part = values[i : i + (1 << 16), None].astype(np.uint64) >> np.arange(width, dtype=np.uint64) & _ONE
+        packed = np.packbits(part.astype(np.uint8), bitorder="little")
+        out[i * width // 8 : i * width // 8 + len(packed)] = packed
+    return out
+
+
+class Packed:
+    """Random access to pack_bits(); width at most 56."""
+
+    def __init__(self, raw: np.ndarray, width: int):
+        self.width, self.mask = width, np.uint64((1 << width) - 1)
+        self.eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), np.int64)
+        at = i * self.width
+        return (self.eight[at >> 3] >> (at & 7).astype(np.uint64) & self.mask).astype(np.int64)
 
 
 def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
-    """Arrays of a non-decreasing sequence of values below the universe: low bits packed, high bits in unary."""
+    """Arrays of a non-decreasing sequence of values below the universe (at most 2**63): low bits packed, high in unary."""
     n = len(values)
-    low = max(0, int(universe // max(n, 1)).bit_length() - 1)
+    low = min(56, max(0, int(universe // max(n, 1)).bit_length() - 1))
     v = values.astype(np.uint64)
     high = (v >> np.uint64(low)).astype(np.int64)
-    buckets = (universe >> low) + 1
-    bits = np.zeros(-(-(n + buckets) // STRIDE) * STRIDE, np.uint8)
+    size = -(-(n + (universe >> low) + 1) // 64) * 64
+    bits = np.zeros(size, np.uint8)
     bits[high + np.arange(n)] = 1
-    ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, STRIDE).sum(1))]).astype(np.uint32)
-    lows = np.zeros(-(-(n * low) // 8) + 8, np.uint8)
-    for i in range(0, n, 1 << 16):  # a multiple of 8 values: whole bytes
-        part = v[i : i + (1 << 16), None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)
-        packed = np.packbits(part.astype(np.uint8), bitorder="little")
-        lows[i * low // 8 : i * low // 8 + len(packed)] = packed
-    return {f"{name}.head": np.array([n, low, universe], np.uint64), f"{name}.bits": np.packbits(bits, bitorder="little"), f"{name}.ones": ones, f"{name}.lows": lows}
+    words = np.packbits(bits, bitorder="little").view("<u8")
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+    hints = {}
+    for side, found in (("zeros", np.arange(len(ones)) * 64 - ones), ("hints", ones)):
+        hints[f"{name}.{side}"] = (np.searchsorted(found, np.arange(0, found[-1] + 1, HINT), "right") - 1).astype(np.uint32)
+    small = np.uint32 if size < 2**32 else np.int64
+    return {f"{name}.head": np.array([n, low, universe], np.uint64), f"{name}.bits": words, f"{name}.ones": ones.astype(small), f"{name}.lows": pack_bits(v & np.uint64((1 << low) - 1), low), **hints}
 
 
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.low, self.universe = (int(x) for x in arrays[f"{name}.head"])
-        self.bits, self.ones, raw = arrays[f"{name}.bits"], arrays[f"{name}.ones"], arrays[f"{name}.lows"]
-        self.lows = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * STRIDE - self.ones
+        self.bits, self.ones = arrays[f"{name}.bits"], arrays[f"{name}.ones"]
+        self.hints = (arrays[f"{name}.zeros"], arrays[f"{name}.hints"])
+        self.lows = Packed(arrays[f"{name}.lows"], self.low)
 
-    def low_bits(self, i: np.ndarray) -> np.ndarray:
-        if not self.low:
-            return np.zeros(len(i), np.int64)
-        at = i * self.low
-        return (self.lows[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.low) - 1)).astype(np.int64)
+    def _before(self, word: np.ndarray, bit: int) -> np.ndarray:
+        """Set (or clear) bits before each word."""
+        ones = self.ones[word].astype(np.int64)
+        return ones if bit else word * 64 - ones
 
-    def _select(self, directory: np.ndarray, k: np.ndarray, bit: int) -> np.ndarray:
+    def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Position of the k-th (from 0) such bit."""
-        out = np.empty(len(k), np.int64)
-        for i in range(0, len(k), 1 << 15):
-            part = k[i : i + (1 << 15)]
-            block = np.searchsorted(directory, part, "right") - 1
-            rows = self.bits.reshape(-1, STRIDE // 8)[block]
-            rows = rows if bit else ~rows
-            upto = np.cumsum(np.bitwise_count(rows), 1, dtype=np.uint8)
-            want = (part - directory[block]).astype(np.int64)
-            byte = np.minimum((upto <= want[:, None]).sum(1), STRIDE // 8 - 1)
-            line = np.arange(len(part))
-            before = np.where(byte > 0, upto[line, byte - 1], 0)
-            out[i : i + (1 << 15)] = block * STRIDE + byte * 8 + _PLACE[rows[line, byte], want - before]
+        word = self.hints[bit][k // HINT].astype(np.int64)
+        todo, steps = np.arange(len(k)), 0
+        while len(todo):
+            todo = todo[self._before(word[todo] + 1, bit) <= k[todo]]
+            word[todo] += 1
+            steps += 1
+            if steps == 16 and len(todo):  # a long run of the other bit: bisect the words
+                lo, hi = word[todo], np.full(len(todo), len(self.bits) - 1)
+                while (lo < hi).any():
+                    middle = (lo + hi) >> 1
+                    more = self._before(middle + 1, bit) <= k[todo]
+                    lo, hi = np.where(more, middle + 1, lo), np.where(more, hi, middle)
+                word[todo] = lo
+                break
+        left = (k - self._before(word, bit)).astype(np.uint64)
+        w = self.bits[word] if bit else self.bits[word] ^ _ALL
+        at = np.zeros(len(k), np.uint64)
+        for half in (32, 16, 8, 4, 2, 1):  # the half of the word that holds the bit, and so on
+            here = np.bitwise_count(w >> at & np.uint64((1 << half) - 1)).astype(np.uint64)
+            over = left >= here
+            left -= here * over
+            at += over * np.uint64(half)
+        return word * 64 + at.astype(np.int64)
+
+    def _next(self, position: np.ndarray, bit: int, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th such bit, which is the next one behind the position."""
+        word, at = position >> 6, (position & 63).astype(np.uint64)
+        w = self.bits[word] if bit else self.bits[word] ^ _ALL
+        w = w >> at >> _ONE
+        out = position + 1 + np.bitwise_count((w & (~w + _ONE)) - _ONE).astype(np.int64)
+        far = np.flatnonzero(w == 0)
+        out[far] = self._select(k[far], bit)
         return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        at = self._select(self.ones, i, 1)
-        return ((at - i) << self.low) | self.low_bits(i)
+        return ((self._select(i, 1) - i) << self.low) | self.lows[i]
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it is absent: the successor within the bucket of its high bits, by bisection."""
-        out = np.full(len(values), -1, np.int64)
-        if not self.n:
-            return out
-        ok = np.flatnonzero((values >= 0) & (values < self.universe))
-        high, low = values[ok] >> self.low, values[ok] & ((1 << self.low) - 1)
-        first = np.zeros(len(ok), np.int64)
-        later = high > 0
-        first[later] = self._select(self.zeros, high[later] - 1, 0) + 1 - high[later]
-        last = self._select(self.zeros, high, 0) - high
-        some = first < last
-        ok, low, first, last = ok[some], low[some], first[some], last[some]
-        end = last.copy()
-        todo = np.arange(len(ok))
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1."""
+        at = self._select(i, 1)
+        after = self._next(at, 1, i + 1)
+        return ((at - i) << self.low) | self.lows[i], ((after - i - 1) << self.low) | self.lows[i + 1]
+
+    def _bisect(self, values: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Number of elements below each value (or not above it), and the end of its bucket; 0 <= values < universe."""
+        high, low = values >> self.low, values & ((1 << self.low) - 1)
+        start = np.full(len(values), -1, np.int64)
+        later = np.flatnonzero(high > 0)
+        start[later] = self._select(high[later] - 1, 0)
+        first = start + 1 - high
+        last = np.empty(len(values), np.int64)
+        last[later] = self._next(start[later], 0, high[later]) - high[later]
+        zero = np.flatnonzero(high == 0)
+        if len(zero):
+            last[zero] = self._select(np.zeros(1, np.int64), 0)[0]
+        end, todo = last.copy(), np.flatnonzero(first < last)
         while len(todo):
             middle = (first[todo] + last[todo]) >> 1
-            less = self.low_bits(middle) < low[todo]
+            found = self.lows[middle]
+            less = found <= low[todo] if right else found < low[todo]
             first[todo[less]] = middle[less] + 1
             last[todo[~less]] = middle[~less]
             todo = todo[first[todo] < last[todo]]
-        at = np.flatnonzero(first < end)
-        at = at[self.low_bits(first[at]) == low[at]]
-        out[ok[at]] = first[at]
+        return first, end
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Index of the first element equal to each value, -1 where there is none."""
+        out = np.full(len(values), -1, np.int64)
+        if not self.n:
+            return out
+        ok = np.flatnonzero((values >= 0) & (values < self.universe))
+        first, end = self._bisect(values[ok], False)
+        some = np.flatnonzero(first < end)
+        ok, first = ok[some], first[some]
+        same = self.lows[first] == values[ok] & ((1 << self.low) - 1)
+        out[ok[same]] = first[same]
         return out
+
+    def rank(self, values: np.ndarray) -> np.ndarray:
+        """Number of elements that are not above each value (0 <= value < universe)."""
+        return self._bisect(values, True)[0]

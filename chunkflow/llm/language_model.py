@@ -1,10 +1,12 @@
 """Language-model scoring with an Elias-Fano n-gram trie in memory-mapped files.
 
-The first level holds all training tokens: their hashes, sorted, and counts; a token's id is its place. Every further
-level up to the order is cut into shards by a hash of the n-gram, so a frequent context is spread over all of them; an
-n-gram's place is its index in its shard after the n-grams of the shards before. A shard holds the places of its
-contexts on the level before, monotone pointers to their children, the children's ids made monotone by adding the
-context's index times the number of tokens, all three in Elias-Fano form, quantised smoothed probabilities, and counts.
+The first level holds all training tokens: their hashes, sorted, and the running sums of their counts, both in
+Elias-Fano form; a token's id is its place. Every further level up to the order is cut into shards by a hash of the
+n-gram, so a frequent context is spread over all of them; an n-gram's place is its index in its shard after the n-grams
+of the shards before. A shard holds the places of its contexts on the level before and monotone pointers to their
+children, both in Elias-Fano form, the children's ids, sorted within each context and packed to as many bits as an id
+needs, quantised smoothed probabilities, and, where n-grams are contexts themselves, counts. A context's place leads to
+its pointer and the next one, and the token is searched between the two.
 
     P(w)         = (c(w) + 1) / (N + V + 1)
     P(w | v)     = (c(v w) + MU * P(w)) / (c(v) + MU)
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import new_folder, remainder, saved, table
-from .elias_fano import Sequence, build
+from .elias_fano import Packed, Sequence, build, pack_bits
 from .files import mapped, pack, unpack, write_bytes
 
 MU = 100.0
@@ -33,20 +35,23 @@ ORDER = 3
 #: Steps of log10 probability.
 QUANTUM = 1 / 2048
 #: Characters of training text for each shard, and of text that a task counts before it passes counts on.
-SHARD_CHARS, FLUSH_CHARS = 32_000_000, 24_000_000
+SHARD_CHARS, FLUSH_CHARS = 64_000_000, 24_000_000
+#: Characters that are looked up together.
+TOGETHER = 4_000_000
 #: N-grams whose probabilities are worked out at a time.
 STEP = 500_000
-#: Hash of the end token; word hashes that happen to equal it are moved by one.
-END = np.uint64(0)
+#: Hash of the end token; word hashes that happen to equal it are moved by one. Hashes have 63 bits.
+END = 0
 
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and its end token, and len(texts) + 1 offsets."""
     h, offsets = words.hash_words(words.encode(texts))
+    h = (h >> np.uint64(1)).astype(np.int64)
     h[h == END] = 1
     n = np.diff(offsets)
     ends = np.cumsum(n + 1)
-    out = np.empty(len(h) + len(n), np.uint64)
+    out = np.empty(len(h) + len(n), np.int64)
     inside = np.ones(len(out), bool)
     inside[ends - 1] = False
     out[inside], out[~inside] = h, END
@@ -93,7 +98,7 @@ def _counter(keys_of, shard_of):
 
         for batch in it:
             texts = batch.column(0).to_pylist()
-            for a, b in words.batches(texts):
+            for a, b in words.batches(texts, TOGETHER):
                 keys = keys_of(texts[a:b])
                 held.append(np.unique(keys, return_counts=True))
                 size += sum(len(t or "") for t in texts[a:b])
@@ -106,81 +111,111 @@ def _counter(keys_of, shard_of):
     return run
 
 
-def _reduced(pairs: DataFrame, merge, schema: str) -> DataFrame:
-    """merge(shard, keys, counts) for each shard; the rows of a group are a few blobs for each task that counted."""
-    import pandas as pd
+def _reduced(blobs: DataFrame, shards: int, merge, schema: str) -> DataFrame:
+    """merge(shard, keys, counts) for each shard, in a task of its own; its rows are a few blobs for each task that counted."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(key, f):
-        parts = [_loosen(b) for b in f["blob"]]
-        return pd.DataFrame([merge(int(key[0]), *_sum(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])))], columns=[c.split()[0] for c in schema.split(", ")])
+    def run(it):
+        parts: dict[int, list] = {}
+        for batch in it:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.setdefault(shard, []).append(_loosen(blob))
+        for shard, got in parts.items():
+            keys, counts = _sum(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+            got.clear()
+            yield pa.RecordBatch.from_pydict({n: [x] for n, x in zip(names, merge(shard, keys, counts))})
+
+    return saved(blobs.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(run, schema), "model")
 
-    return saved(pairs.groupBy("shard").applyInPandas(run, schema), "model")
 
+def _token_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h.astype(np.int64) >> 31) * shards >> 32
 
-def _hash_shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+def _gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((words.mix(keys.astype(np.uint64)) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 class Tokens:
     """First level: ids and counts of token hashes, over the mapped files of all shards."""
 
     def __init__(self, folder: str, shards: int):
-        self.parts = [unpack(mapped(f"{folder}/tokens-{i:06d}.bin")) for i in range(shards)]
-        self.base = np.concatenate([[0], np.cumsum([len(p["hash"]) for p in self.parts])])
-        self.total = int(sum(int(p["total"][0]) for p in self.parts))
+        files = [unpack(mapped(f"{folder}/tokens-{i:06d}.bin")) for i in range(shards)]
+        self.hashes, self.sums = ([Sequence(a, x) for a in files] for x in ("hash", "sums"))
+        self.base = np.concatenate([[0], np.cumsum([s.n for s in self.hashes])])
+        self.total = sum(s.universe - 1 for s in self.sums)
+
+    @staticmethod
+    def build(h: np.ndarray, counts: np.ndarray) -> bytes:
+        return pack(build(h, 2**63, "hash") | build(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), int(counts.sum()) + 1, "sums"))
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1 if unknown) and count of each of the sorted different hashes."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        cuts = np.searchsorted(_hash_shard(h, len(self.parts)), np.arange(len(self.parts) + 1))
-        for p, base, a, b in zip(self.parts, self.base, cuts[:-1], cuts[1:]):
-            if b > a and len(p["hash"]):
-                at = np.minimum(np.searchsorted(p["hash"], h[a:b]), len(p["hash"]) - 1)
-                hit = p["hash"][at] == h[a:b]
-                ids[a:b] = np.where(hit, at + base, -1)
-                counts[a:b] = np.where(hit, p["count"][at], 0)
+        cuts = np.searchsorted(_token_shard(h, len(self.hashes)), np.arange(len(self.hashes) + 1))
+        for hashes, sums, base, a, b in zip(self.hashes, self.sums, self.base, cuts[:-1], cuts[1:]):
+            if b > a:
+                at = hashes.find(h[a:b])
+                hit = np.flatnonzero(at >= 0)
+                before, upto = sums.pairs(at[hit])
+                ids[a + hit], counts[a + hit] = at[hit] + base, upto - before
         return ids, counts
 
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        out, shard = np.empty(len(ids), np.int64), np.searchsorted(self.base, ids, "right") - 1
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            before, upto = self.sums[s].pairs(ids[mine] - self.base[s])
+            out[mine] = upto - before
+        return out
+
 
 class Grams:
     """One shard of a level above the first."""
 
-    def __init__(self, uri: str, size: int):
+    def __init__(self, uri: str):
         arrays = unpack(mapped(uri))
-        self.contexts, self.pointers, self.children = (Sequence(arrays, x) for x in ("contexts", "pointers", "children"))
-        self.logs, self.counts, self.size = arrays["logs"], arrays["counts"], size
+        self.contexts, self.pointers = (Sequence(arrays, x) for x in ("contexts", "pointers"))
+        self.children = Packed(arrays["children"], int(arrays["width"][0]))
+        self.logs, self.counts = arrays["logs"], arrays["counts"]
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray, logs: np.ndarray, size: int, above: int) -> bytes:
-        """keys: place of the context (of `above` places) times the number of tokens, plus the token's id; sorted."""
-        v, w = (keys // np.uint64(size)).astype(np.int64), (keys % np.uint64(size)).astype(np.int64)
+    def build(v: np.ndarray, w: np.ndarray, counts: np.ndarray, logs: np.ndarray, size: int, above: int) -> bytes:
+        """v: places of the contexts (of `above` places), w: ids of the tokens (of `size`), sorted by both."""
         contexts, first = np.unique(v, return_index=True)
-        place = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(v))))
-        arrays = build(contexts, above, "contexts") | build(np.append(first, len(v)), len(v) + 1, "pointers") | build(place * size + w, max(1, len(contexts) * size), "children")
+        width = max(1, int(size).bit_length())
+        arrays = build(contexts, above, "contexts") | build(np.append(first, len(v)), len(v) + 1, "pointers")
+        arrays |= {"children": pack_bits(w, width), "width": np.array([width], np.int64)}
         return pack(arrays | {"logs": np.minimum(np.rint(-logs / QUANTUM), 65535).astype(np.uint16), "counts": counts.astype(np.uint32)})
 
     def look(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Index of the n-gram of context v and token w, -1 where the shard has none."""
+        """Index of the n-gram of context v and token w, sorted by both; -1 where the shard has none."""
         out = np.full(len(v), -1, np.int64)
-        different, back = np.unique(v, return_inverse=True)
-        context = self.contexts.find(different)[back]
-        known = np.flatnonzero(context >= 0)
-        out[known] = self.children.find(context[known] * self.size + w[known])
+        if not len(v) or not self.contexts.n:
+            return out
+        starts = np.append(True, v[1:] != v[:-1])
+        context = self.contexts.find(v[starts])
+        some = context >= 0
+        begin, end = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        begin[some], end[some] = self.pointers.pairs(context[some])
+        of = np.cumsum(starts) - 1
+        at, end = begin[of], end[of]
+        lo, hi = at, end.copy()
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            middle = (lo[todo] + hi[todo]) >> 1
+            less = self.children[middle] < w[todo]
+            lo[todo[less]] = middle[less] + 1
+            hi[todo[~less]] = middle[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        here = np.flatnonzero(lo < end)
+        here = here[self.children[lo[here]] == w[here]]
+        out[here] = lo[here]
         return out
 
     def split(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context and token of the n-grams at the indices."""
-        context, w = np.divmod(self.children.access(at), self.size)
-        different, back = np.unique(context, return_inverse=True)
-        return self.contexts.access(different)[back], w
-
-    def followers(self, v: int) -> np.ndarray:
-        """Ids that follow v in this shard: the range between two pointers."""
-        c = self.contexts.find(np.array([v]))
-        if c[0] < 0:
-            return np.zeros(0, np.int64)
-        a, b = self.pointers.access(np.array([c[0], c[0] + 1]))
-        return self.children.access(np.arange(a, b)) - c[0] * self.size
+        return self.contexts.access(self.pointers.rank(at) - 1), self.children[at]
 
 
 class Model:
@@ -210,21 +245,24 @@ class Model:
 
     def grams(self, level: int, shard: int) -> Grams:
         if (level, shard) not in self._grams:
-            self._grams[level, shard] = Grams(f"{self.folder}/grams{level}-{shard:06d}.bin", self.size)
+            self._grams[level, shard] = Grams(f"{self.folder}/grams{level}-{shard:06d}.bin")
         return self._grams[level, shard]
 
     def look(self, level: int, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (-1 if unknown), count and log10 P of the n-grams of contexts v and tokens w."""
         keys, back = np.unique(v * self.size + w, return_inverse=True)
-        shard = _hash_shard(words.mix(keys.astype(np.uint64)), self.shards)
+        shard = _gram_shard(keys, self.shards)
         places, counts, logs = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if self.shards < 65_536 else shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             mine, g = order[cuts[s] : cuts[s + 1]], self.grams(level, s)
-            at = g.look(keys[mine] // self.size, keys[mine] % self.size)
+            v, w = np.divmod(keys[mine], self.size)
+            at = g.look(v, w)
             mine, at = mine[at >= 0], at[at >= 0]
-            places[mine], counts[mine], logs[mine] = at + self.bases[level - 2][s], g.counts[at], g.logs[at] * -QUANTUM
+            places[mine], logs[mine] = at + self.bases[level - 2][s], g.logs[at] * -QUANTUM
+            if len(g.counts):
+                counts[mine] = g.counts[at]
         return places[back], counts[back], logs[back]
 
     def split(self, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,22 +277,26 @@ class Model:
         return v, w
 
     def chance(self, level: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P of training n-grams (context, token, count) of a level, from the counts of this and shorter n-grams."""
-        token = np.concatenate([p["count"] for p in self.tokens.parts])
-        spelt, at = [w], v
+        """P of training n-grams (context, token, count) of a level: their counts and the shorter n-gram's P as stored."""
+        if level == 2:
+            return (counts + MU * 10 ** self.log_unigram(self.tokens.counts_of(w))) / (self.tokens.counts_of(v) + MU)
+        spelt, at = [w], v  # the last level - 1 words
         for k in range(level - 1, 1, -1):
-            at, last = self.split(k, at)
-            spelt.append(last)
-        spelt = [at, *spelt[::-1]]
-        p = (token[w] + 1) / (self.total + self.size + 1)
-        for k in range(2, level):  # the last k words
-            place, n = spelt[level - k], token[spelt[level - k]]
-            for j in range(2, k + 1):
-                above = n
-                place, n, _ = self.look(j, place, spelt[level - k + j - 1])
-            p = (n + MU * p) / (above + MU)
-        above = token[v] if level == 2 else self.counts_of(level - 1, v)
-        return (counts + MU * p) / (above + MU)
+            spelt.insert(0, self.last(k, at))
+            at = self.split(k, at)[0] if k > 2 else at
+        place = spelt[0]
+        for k in range(2, level):
+            place, _, logs = self.look(k, place, spelt[k - 1])
+        return (counts + MU * 10.0**logs) / (self.counts_of(level - 1, v) + MU)
+
+    def last(self, level: int, places: np.ndarray) -> np.ndarray:
+        """Token at the end of each n-gram."""
+        out = np.empty(len(places), np.int64)
+        shard = np.searchsorted(self.bases[level - 2], places, "right") - 1
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            out[mine] = self.grams(level, s).children[places[mine] - self.bases[level - 2][s]]
+        return out
 
     def counts_of(self, level: int, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places), np.int64)
@@ -323,36 +365,35 @@ def train(docs: DataFrame, folder: str, order: int) -> tuple[str, int, tuple[tup
     shards = 1 + int((texts.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS)
 
     def write_tokens(shard, keys, counts):
-        write_bytes(f"{folder}/tokens-{shard:06d}.bin", pack({"hash": keys, "count": counts, "total": np.array([counts.sum()], np.int64)}))
+        write_bytes(f"{folder}/tokens-{shard:06d}.bin", Tokens.build(keys.astype(np.int64), counts))
         return shard, len(keys)
 
-    once = texts.mapInArrow(_counter(lambda t: tokens(t)[0], lambda k: _hash_shard(k, shards)), "shard long, blob binary")
-    made = {r[0] for r in _reduced(once, write_tokens, "shard long, n long").collect()}  # one row per shard
+    once = texts.mapInArrow(_counter(lambda t: tokens(t)[0].astype(np.uint64), lambda k: _token_shard(k, shards)), "shard long, blob binary")
+    made = {r[0] for r in _reduced(once, shards, write_tokens, "shard long, n long").collect()}  # one row per shard
     empty = np.zeros(0, np.int64)
     for s in set(range(shards)) - made:
-        write_bytes(f"{folder}/tokens-{s:06d}.bin", pack({"hash": empty.astype(np.uint64), "count": empty, "total": np.zeros(1, np.int64)}))
+        write_tokens(s, empty, empty)
     trained = folder, shards, ()
-    for _ in range(2, order + 1):
-        trained = _next_level(texts, *trained)
+    for level in range(2, order + 1):
+        trained = _next_level(texts, *trained, level == order)
     return trained
 
 
-def _next_level(texts: DataFrame, folder: str, shards: int, sizes: tuple) -> tuple[str, int, tuple]:
-    """Writes the level after those of sizes."""
-    level = len(sizes) + 2
+def _next_level(texts: DataFrame, folder: str, shards: int, sizes: tuple, last: bool) -> tuple[str, int, tuple]:
+    """Writes the level after those of sizes; the n-grams of the last level are no contexts and need no counts."""
+    level, empty = len(sizes) + 2, np.zeros(0, np.int64)
 
     def write(shard, keys, counts):
         m = model(folder, shards, sizes)
         v, w = (keys // np.uint64(m.size)).astype(np.int64), (keys % np.uint64(m.size)).astype(np.int64)
         logs = [np.log10(m.chance(level, v[i : i + STEP], w[i : i + STEP], counts[i : i + STEP])) for i in range(0, len(keys), STEP)]
-        write_bytes(f"{folder}/grams{level}-{shard:06d}.bin", Grams.build(keys, counts, np.concatenate(logs), m.size, m.places(level - 1)))
+        write_bytes(f"{folder}/grams{level}-{shard:06d}.bin", Grams.build(v, w, empty if last else counts, np.concatenate(logs), m.size, m.places(level - 1)))
         return shard, len(keys)
 
-    counted = texts.mapInArrow(_counter(lambda t: model(folder, shards, sizes).keys(t), lambda k: _hash_shard(words.mix(k), shards)), "shard long, blob binary")
-    made = dict(tuple(r) for r in _reduced(counted, write, "shard long, n long").where("n > 0").collect())
-    empty = np.zeros(0, np.int64)
+    counted = texts.mapInArrow(_counter(lambda t: model(folder, shards, sizes).keys(t), lambda k: _gram_shard(k, shards)), "shard long, blob binary")
+    made = dict(tuple(r) for r in _reduced(counted, shards, write, "shard long, n long").where("n > 0").collect())
     for s in set(range(shards)) - set(made):
-        write_bytes(f"{folder}/grams{level}-{s:06d}.bin", Grams.build(empty.astype(np.uint64), empty, empty.astype(float), 1, 1))
+        write_bytes(f"{folder}/grams{level}-{s:06d}.bin", Grams.build(empty, empty, empty, empty.astype(float), 1, 1))
     return folder, shards, (*sizes, tuple(made.get(s, 0) for s in range(shards)))
 
 
@@ -364,7 +405,7 @@ def score_documents(docs: DataFrame, trained: tuple[str, int, tuple]) -> DataFra
         for batch in it:
             texts = batch.column(2).to_pylist()
             m = model(*trained)
-            for a, b in words.batches(texts):
+            for a, b in words.batches(texts, TOGETHER):
                 n, known, base, score = m.score(texts[a:b])
                 total = np.full(b - a, m.total)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *map(pa.array, (n.astype(np.int64), known, total, base, score))], schema=schema)
