@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import components, saved, table
+from .common import components, discard, saved, settled, table
 
-#: Samples a band and bands. A pair of similarity 0.75 shares no band with probability (1 - 0.75**6)**60 < 1e-5.
-ROWS, BANDS = 6, 60
+#: Samples a band and bands. A pair of similarity 0.75 shares no band with probability (1 - 0.75**5)**43 < 1e-5.
+ROWS, BANDS = 5, 43
 #: Bits of an odd sketch over all ROWS * BANDS samples.
 BITS = 1024
-#: The sketch's estimate may be this far under the threshold: over six standard deviations of 360 samples at 0.75.
+#: The sketch's estimate may be this far under the threshold: five standard deviations of 215 samples at 0.75.
 SLACK = 0.15
 
 _RNG = np.random.Generator(np.random.PCG64(11))
@@ -26,11 +26,15 @@ _PLACE = words.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0
 
 
 def minhash(shingle_set: np.ndarray) -> np.ndarray:
-    """ROWS * BANDS minima; long sets go through in pieces."""
+    """ROWS * BANDS minima; the set goes through in pieces that fit the processor's cache."""
     x = (shingle_set >> np.uint64(32)).astype(np.uint32)
     out = np.full(ROWS * BANDS, 2**32 - 1, np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(out, (x[i : i + 2048, None] * _A + _B).min(axis=0), out=out)
+    piece = np.empty((min(len(x), 256), ROWS * BANDS), np.uint32)
+    for i in range(0, len(x), 256):
+        part = piece[: len(x) - i]
+        np.multiply(x[i : i + 256, None], _A, out=part)
+        np.add(part, _B, out=part)
+        np.minimum(out, part.min(axis=0), out=out)
     return out
 
 
@@ -46,9 +50,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def odd_sketch(sig: np.ndarray) -> np.ndarray:
     """Each sample flips one of BITS bits; the bits left set, as BITS / 64 long integers."""
     spot = (words.mix(sig.astype(np.uint64) ^ _PLACE) % np.uint64(BITS)).astype(np.int64)
-    flips = np.zeros((len(sig), BITS), np.uint8)
-    np.add.at(flips, (np.arange(len(sig))[:, None], spot), 1)
-    return np.packbits(flips & 1, axis=1).view(np.int64)
+    spot += np.arange(len(sig))[:, None] * BITS
+    flips = np.bincount(spot.ravel(), minlength=len(sig) * BITS).reshape(len(sig), BITS) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
 
 
 def most_differing_bits(similarity: float) -> int:
@@ -91,16 +95,90 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that the sizes and the sketches allow and the full sets confirm."""
+def _buckets(it):
+    """Rows (key, doc_id) sorted by both to the members of the buckets: rows of keys that have more than one row here.
+
+    A member comes with the first document of its key in this partition. The first and the last key of the partition
+    may go on in others: their first documents come once more, as edges.
+    """
+    import pyarrow.compute as pc
+
+    last = first_key = None  # the last row is held back until the next is known: key, doc, first, starts
+
+    def rows(key, doc, lo, edge):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, doc, lo)] + [pa.array(np.full(len(key), edge))], names=["key", "doc_id", "lo", "edge"])
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        key, doc = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in batch.columns)
+        if last is not None:
+            key, doc = np.append(last[0], key), np.append(last[1], doc)
+        starts = np.append(True, key[1:] != key[:-1])
+        at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
+        lo = doc[at]
+        if last is None:
+            first_key = (int(key[0]), int(doc[0]))
+        else:
+            lo[at == 0], starts[0] = last[2], last[3]
+        member = ~starts | np.append(key[1:] == key[:-1], False)
+        member[-1] = False
+        yield rows(key[member], doc[member], lo[member], False)
+        last = key[-1], doc[-1], lo[-1], starts[-1]
+    if last is not None:
+        if not last[3]:
+            yield rows([last[0]], [last[1]], [last[2]], False)
+        ends = list(dict.fromkeys([first_key, (int(last[0]), int(last[2]))]))
+        yield rows([k for k, _ in ends], [d for _, d in ends], [d for _, d in ends], True)
+
+
+def _members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id) of all buckets of several documents, and a pair (a, b) for each document b that is not the first.
+
+    a is the first document with which b shares the most buckets, the smallest of several. Rows are dealt by ranges of
+    key and document, so that a bucket of any size is spread over tasks; the first documents of its parts are paired.
+    """
+    keys = reps.select(F.explode("bands").alias("key"), "doc_id").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    found = saved(keys.mapInArrow(_buckets, "key long, doc_id long, lo long, edge boolean"), "buckets")
+    edges = found.where("edge").select("key", "doc_id").distinct()
+    cut = edges.groupBy("key").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").select("key", "lo")
+    parts = saved(edges.join(cut, "key"), "parts")  # buckets that go over several tasks: a row for each
+    inside = found.where("not edge")
+    shared = inside.where("lo < doc_id").groupBy("doc_id", "lo").count()
+    best = shared.groupBy("doc_id").agg(F.max_by("lo", F.struct("count", -F.col("lo"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+    pairs = best.unionByName(parts.where("lo < doc_id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    return inside.select("key", "doc_id").unionByName(parts.select("key", "doc_id")).distinct(), pairs
+
+
+def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sizes and the sketches allow."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     differing = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(differing <= most_differing_bits(percent / 100 - SLACK))
-    pairs = saved(pairs.select("a", "b").distinct(), "candidates")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return pairs.where(differing <= most_differing_bits(percent / 100 - SLACK)).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that the full sets of both texts confirm."""
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    pairs = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
-    return pairs.mapInArrow(_confirm(width, percent), "a long, b long")
+    both = pairs.select("a", "b").hint("merge").join(text("a"), "a").hint("merge").join(text("b"), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_confirm(width, percent), "a long, b long")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, c, lo, c_lo) of the buckets that hold several components c; lo is the bucket's first document."""
+    placed = members.join(found, F.col("id") == F.col("doc_id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = saved(placed, "placed")
+    several = placed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.min_by("c", "doc_id").alias("c_lo"), F.min("c").alias("least"), F.max("c").alias("most"))
+    out = saved(placed.join(several.where("least < most").select("key", "lo", "c_lo"), "key"), "mixed")
+    discard(placed)
+    return out
+
+
+def _first_of_each(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's first document and the first of each other component in it."""
+    first = mixed.where("c <> c_lo").groupBy("key", "c").agg(F.min("doc_id").alias("b"), F.min("lo").alias("a"))
+    return first.select("a", "b").distinct()
 
 
 def _sets(width: int):
@@ -117,15 +195,16 @@ def _sets(width: int):
     return run
 
 
-def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(mixed: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between different components c of one bucket; sizes, sketches and full sets are part of the join.
 
-    Only confirmed links leave the join, and a pair is tried in the first of its common buckets alone.
+    Only confirmed links leave the join, however many texts of a bucket are nearly alike, and a pair is tried in the
+    first of its common buckets alone.
     """
-    ids = members.select("doc_id").distinct()
+    ids = mixed.select("doc_id").distinct()
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, full array<long>")
     full = saved(reps.join(ids, "doc_id", "left_semi").join(sets, "doc_id"), "sets")
-    rows = members.join(full, "doc_id")
+    rows = mixed.join(full.select("doc_id", "n", "sketch", "bands", "full"), "doc_id")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "c", "n", "sketch", "bands", "full"))) for x in "ab")
     differing = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(BITS // 64))
     tests = (
@@ -144,41 +223,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `width`-word shingles.
     1. Texts with equal sets become one representative, the smallest id.
-    2. MinHash bands bucket the representatives. In every bucket each is paired with the smallest and the largest id
-       only; odd sketches and then full sets confirm; confirmed links give components.
-    3. In buckets that still hold several components, the pairs across components are confirmed too. So no link between
+    2. MinHash bands bucket the representatives. Each document is paired with the first document of its buckets that it
+       meets most often; odd sketches rule pairs out, full sets confirm them, and confirmed links give components. Then
+       the first documents of the components that share a bucket are paired in the same way.
+    3. In buckets that still hold several components, the pairs across components are tried too. So no link between
        texts that share a band is lost, and a large group of copies never unfolds into all its pairs.
 
     Null or wordless text: n_shingles 0, its own component. Null id: component null, kept. Rows that repeat an id
     are each returned. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = saved(docs.mapInArrow(_sketches(width), "doc_id long, d1 long, d2 long, n long, bands array<long>, sketch array<long>"), "sketches")
-    least = raw.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    rows = raw.select("doc_id", "d1", "d2", "n").join(least, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    rows = saved(rows, "rows")
-    wanted = rows.where("doc_id = rep").select("doc_id").distinct()
-    reps = saved(raw.join(wanted, "doc_id", "left_semi").where("n > 0").select("doc_id", "n", "bands", "sketch"), "reps")
-
-    in_bucket = reps.select("doc_id", F.explode("bands").alias("key"))
-    full = in_bucket.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    full = saved(full, "buckets")
-    members = saved(in_bucket.join(full, "key"), "members")
-    paired = members.select("doc_id").distinct()
-    texts = saved(docs.join(paired, "doc_id", "left_semi"), "texts")  # whole texts are shuffled this once
-    star = members.select("doc_id", F.explode(F.array("lo", "hi")).alias("hub")).where("doc_id <> hub")
-    star = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    links = saved(_confirmed(star, reps, texts, width, percent), "links")
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, width, percent), "components")
 
-    first = components(links)
-    placed = members.select("key", "doc_id").join(first, F.col("id") == F.col("doc_id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    placed = saved(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = saved(placed.join(mixed, "key"), "mixed")
-    more = saved(_across(left, reps, texts, width, percent), "links")
 
-    whole = components(links.unionByName(more)) if more.limit(1).count() else first
-    whole = whole.select(F.col("id").alias("rep"), "component")
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Ids and pairs grow with the documents, so texts meet them by shuffles at every size, never by broadcast."""
+    raw = saved(docs.mapInArrow(_sketches(width), "doc_id long, d1 long, d2 long, n long, bands array<long>, sketch array<long>"), "sketches")
+    same = raw.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
+    same = saved(same.select("d1", "d2", "rep"), "same")
+    rows = raw.join(same, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")))
+    of_rep = lambda c: F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c)
+    rows = saved(rows.select("doc_id", "n", "rep", of_rep("bands"), of_rep("sketch")), "rows")
+    discard(raw, same)
+    reps = rows.where("doc_id = rep")
+
+    members, pairs = _members(reps)
+    members = saved(members, "members")
+    paired = members.select("doc_id").distinct()
+    texts = saved(docs.join(paired.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")  # whole texts are shuffled this once
+    links = saved(_confirmed(_sketched(pairs, reps, percent), texts, width, percent), "links")
+    found = components(links)
+    first = lambda m: _confirmed(_sketched(_first_of_each(m), reps, percent), texts, width, percent)
+    for step in (first, lambda m: _across(m, reps, texts, width, percent)):
+        mixed = _mixed(members, found)
+        more = saved(step(mixed), "links")
+        discard(mixed)
+        if more.limit(1).count():
+            links = saved(links.unionByName(more), "links")
+            found = components(links)
+
+    whole = found.select(F.col("id").alias("rep"), "component")
     out = rows.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -6,21 +6,19 @@ inside a longer character, so working on bytes and on characters gives the same
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
-#: Upper-case ASCII letters hash as their lower-case forms.
-_BYTE[65:91] = _BYTE[97:123]
-_IS_WORD = np.ones(256, np.uint8)
-_IS_WORD[[9, 10, 11, 12, 13, 32]] = 0
-_POWERS = np.ones(64, np.uint64)
-with np.errstate(over="ignore"):
-  for _i in range(1, 64):
-        _POWERS[_i] = _POWERS[_i - 1] * np.uint64(0xD6E8FEB86659FD93)
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: By k: the first k bytes of a little-endian number of 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed 8 at a time; a longer word is hashed whole by the library.
+LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,17 +36,11 @@ def encode(texts) -> list[bytes]:
     return [t.encode("utf-8", "replace") if t else b"" for t in texts]
 
 
-def _power(n: int) -> np.ndarray:
-    global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * _POWERS[1:2])])
-    return _POWERS
-
-
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word in the bytes."""
-    w = _IS_WORD[np.frombuffer(data, np.uint8)]
-    edge = np.flatnonzero(np.diff(w, prepend=0, append=0))
+    w = np.zeros(len(data) + 2, bool)
+    w[1:-1] = _IS_WORD[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(w[1:] != w[:-1])
     return edge[::2], edge[1::2]
 
 
@@ -57,17 +49,56 @@ def hash_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = b"\n".join(raws)
     starts, ends = word_spans(data)
     at = np.cumsum([0] + [len(r) + 1 for r in raws])
-    offsets = np.searchsorted(starts, at)
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
-    buf = np.frombuffer(data, np.uint8)
-    lengths = ends - starts
-    inside = _IS_WORD[buf].view(bool)
-    place = np.flatnonzero(inside)
-    rank = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    parts = _BYTE[buf[place]] * _power(int(lengths.max()))[rank]
-    sums = np.add.reduceat(parts, np.cumsum(lengths) - lengths)
-    return mix(sums ^ (lengths.astype(np.uint64) * _STEP)), offsets
+    return hash_spans(data.translate(_LOWER), starts, ends), np.searchsorted(starts, at)
+
+
+def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of the bytes, 8 bytes at a time."""
+    data += bytes(8)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the 8 bytes from each place on
+    left = ends - starts
+    h = left.astype(np.uint64) * _STEP
+    h ^= eight[starts] & _FIRST[np.minimum(left, 8)]
+    more, k = np.flatnonzero((left > 8) & (left <= LONG)), 8
+    while len(more):
+        part = h[more] * _M1
+        part ^= part >> np.uint64(32)
+        h[more] = part ^ (eight[starts[more] + k] & _FIRST[np.minimum(left[more] - k, 8)])
+        k += 8
+        more = more[left[more] > k]
+    for i in np.flatnonzero(left > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return mix(h)
+
+
+class Table:
+    """Rows of 64-bit keys, by linear probing; key 0 is not allowed."""
+
+    def __init__(self, places: int):
+        self.keys, self.rows, self.n = np.zeros(places, np.uint64), np.zeros(places, np.int32), 0
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is new."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, at = np.arange(len(keys)), (mix(keys) % np.uint64(len(self.keys))).astype(np.int64)
+        while len(todo):
+            found = self.keys[at]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.rows[at[hit]]
+            on = ~hit & (found != 0)
+            todo, at = todo[on], (at[on] + 1) % len(self.keys)
+        return out
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Different keys that are new."""
+        todo, at = np.arange(len(keys)), (mix(keys) % np.uint64(len(self.keys))).astype(np.int64)
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[todo[free]]  # of several for one place one stays
+            done = free & (self.keys[at] == keys[todo])
+            self.rows[at[done]] = rows[todo[done]]
+            todo, at = todo[~done], (at[~done] + 1) % len(self.keys)
+        self.n += len(keys)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -80,7 +111,8 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np
     out = []
     for a, b in zip(offsets[:-1], offsets[1:]):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            s = np.sort(rolled[a : b - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
             h = np.uint64(b - a)
             with np.errstate(over="ignore"):
@@ -92,12 +124,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np
     return out
 
 
-def crc_of_id(doc_id) -> int:
-    """crc32 of the id written as decimal text."""
-    return zlib.crc32(str(int(doc_id)).encode())
-
-
-def batches(texts, limit: int = 4_000_000):
+def batches(texts, limit: int = 500_000):
     """(first, last) row ranges whose texts together have about `limit` characters; a longer text is alone."""
     return ranges([len(t) if t is not None else 0 for t in texts], limit)
 
