@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, settled, table
 from .near_dup import near_duplicates
 from .token_files import CHARS, encoder
 from .words import ranges
@@ -158,37 +158,44 @@ def pack_sized(rows: DataFrame, capacity: int = CAPACITY, slot: str | None = Non
     return d.groupBy("grp").applyInPandas(run, "doc_id long, piece long, n_tokens long, bin long, offset long")
 
 
-def counted(docs: DataFrame, cluster: Column, tokenizer: str | None = None) -> DataFrame:
-    """Like estimated(), with n counted: the ids of the whole text, as write_token_files() writes them, and the end id."""
+def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """One row per document, without its text: row (hash of id and text), doc_id, source, same (hash of the text; null
+    without one) and n, the ids of the whole text as write_token_files() writes them, and the end id.
+
+    The default tokenizer is op 4's, read from its file of ranks.
+    """
     import public_tokenizers
 
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text != "", cluster).cast("string").alias("cluster"), text.alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("cluster", pa.string()), ("n", pa.int64())])
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    d = docs.select(_row(), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.col("text") != "", F.xxhash64("text")).alias("same"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("same", pa.int64()), ("n", pa.int64())])
 
     def run(it):
         for batch in it:
-            texts = batch.column(3)
+            texts = batch.column(4)
             for a, b in ranges(pc.binary_length(texts).to_pylist(), CHARS):
-                n = pa.array([len(x) + 1 for x in encoder(path).encode(texts.slice(a, b - a))], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), n], schema=schema)
+                n = pa.array(encoder(path).count(texts.slice(a, b - a)) + 1, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), n], schema=schema)
+
+    return d.mapInArrow(run, "row long, doc_id long, source string, same long, n long")
+
 
-    return d.mapInArrow(run, "doc_id long, source string, cluster string, n long")
+def _row() -> Column:
+    """Tells rows apart by id and text, so that null ids and repeated ids are compared too."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row")
 
 
-def with_near_copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text) with near_copies: the near-duplicate component, as text; equal texts where there are no words.
+def sizes_and_copies(docs: DataFrame) -> DataFrame:
+    """What packing needs of each document (doc_id, source, text): doc_id, source, cluster and n, by counted tokens.
 
-    Rows are told apart by id and text, so that null ids and repeated ids are compared too.
+    cluster is the near-duplicate component; equal texts where there are no words; null without a text.
     """
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
-    found = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component")).distinct()
-    other = F.concat(F.lit("="), F.xxhash64("text").cast("string"))
-    d = docs.withColumn("_key", key).join(found, "_key", "left")
-    return d.withColumn("near_copies", F.coalesce(F.concat(F.lit("~"), F.col("_component").cast("string")), other)).drop("_key", "_component")
+    found = near_duplicates(docs.select(_row().alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    cluster = F.coalesce(F.concat(F.lit("~"), F.col("component").cast("string")), F.concat(F.lit("="), F.col("same").cast("string")))
+    sizes = lambda: saved(counted(docs), "counts").join(found, "row", "left").select("doc_id", "source", cluster.alias("cluster"), "n")
+    return settled(docs.sparkSession, sizes, "sizes")
 
 
 def op2_conflict_best_fit(spark, sf_dir: str) -> DataFrame:
-    return pack_sized(saved(counted(with_near_copies(table(spark, sf_dir, "documents")), F.col("near_copies")), "sizes"))
+    return pack_sized(sizes_and_copies(table(spark, sf_dir, "documents")))

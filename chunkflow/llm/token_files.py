@@ -11,6 +11,7 @@ A file holds the ids of some documents, in ascending order of doc_id:
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -25,120 +26,165 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words
 from .common import new_folder, saved, table
 from .files import read_bytes, write_bytes
 from .words import ranges
 
 MAGIC = b"CFPLANE1"
 BLOCK = 65_536
-#: Documents of one file, about.
-DOCS_A_FILE = 4_000
+#: Documents and bytes of text of one file, about.
+DOCS_A_FILE, BYTES_A_FILE = 4_000, 32_000_000
 #: Different words that an encoder remembers before it starts anew, and bytes of text that it takes at a time.
-WORDS_KEPT, CHARS = 800_000, 4_000_000
+WORDS_KEPT, CHARS = 400_000, 2_000_000
+#: Places of the encoder's hash table: more than it remembers and a batch can bring.
+PLACES = 2_000_003
 #: New words that are encoded in one run.
 RUN = 20_000
 #: White space, Unicode's too, as RE2 writes it.
 WHITE = r"[\p{Z}\t-\r\x1c-\x1f\x{85}]"
+#: First bytes of characters of which none is white space.
+AFTER_SPACE = np.zeros(256, bool)
+AFTER_SPACE[33:127] = AFTER_SPACE[0xC3:0xE1] = AFTER_SPACE[0xE4:0xF5] = True
 #: How a byte-level BPE writes a space.
 SPACE = "\u0120"
 
 
-class _Codes(dict):
-    """Numbers of units, given out in order; `fresh` holds the units that have no ids yet."""
+class Tokenizers:
+    """A byte-level BPE by the tokenizers library."""
 
-    def __init__(self):
-        self.fresh: list[str] = []
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begin = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class Ranks:
+    """The same BPE from a file of ranks, by tiktoken; its special token is the one after the ranks."""
+
+    added = ["<|endoftext|>"]
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t: len(ranks) for t in self.added})
+        self.begin = [i for t, i in ranks.items() if t[:1] == b" "]
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = n = len(self)
-        self.fresh.append(unit)
-        return n
+    def many(self, texts: list[str]) -> list[list[int]]:
+        return [self.encoding.encode(t, allowed_special="all") for t in texts]
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words that were seen before are not encoded again.
+    """Ids of whole texts; words that were seen before are not encoded again.
 
     A space that stands before another character begins a new pre-token of a byte-level BPE, so a text may be cut
     before its spaces and the parts encoded alone. Texts with longer runs of white space around a space, or with the
-    text of an added token, are encoded whole. New parts are encoded in runs: no token but a part's first begins
-    with a space.
+    text of an added token, are encoded whole. Parts are known by 64-bit hashes of their bytes. New parts are encoded
+    in runs where no token but a part's first begins with a space. A file of ranks (.tiktoken) is read by tiktoken,
+    any other by the tokenizers library.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = "|".join([f"{WHITE} {WHITE}", f"{WHITE}{{2}}\\z", r"\x00", *map(re.escape, added)])
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.library = Ranks(path) if path.endswith(".tiktoken") else Tokenizers(path)
+        self.whole = "|".join([f"{WHITE} {WHITE}", f"{WHITE}{{2}}\\z", r"\x00", *map(re.escape, self.library.added)])
+        self.begins = np.zeros(2**20, bool)
+        self.begins[self.library.begin] = True
         self._forget()
 
     def _forget(self):
-        #: Parts after a space, and first parts of texts; rows of each: sizes and ids of its parts, one after another.
-        self.codes = (_Codes(), _Codes())
-        self.known = [(np.zeros(0, np.int64), np.zeros(0, np.uint32)) for _ in self.codes]
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn(self, side: int, sizes: np.ndarray, flat: np.ndarray):
-        before = self.known[side]
-        self.known[side] = np.concatenate([before[0], sizes]), np.concatenate([before[1], flat])
-        self.codes[side].fresh.clear()
-
-    def _learn_fresh(self):
-        (later, first), learnt = (c.fresh for c in self.codes), []
-        for i in range(0, len(later), RUN):
-            ids = self._ids(" " + " ".join(later[i : i + RUN]))
+        # rows: number of ids of a part, where they begin
+        self.table = words.Table(PLACES)
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, h: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encodes the spans of the bytes and returns their new rows."""
+        raw = np.frombuffer(data + b" ", np.uint8)
+        spaced = (ends - starts > 1) & (raw[starts] == 32) & AFTER_SPACE[raw[starts + 1]]
+        order, sizes, flat = [], [], []
+        for run in np.array_split(np.flatnonzero(spaced), 1 + spaced.sum() // RUN):
+            n = ends[run] - starts[run]
+            text = raw[np.arange(n.sum()) + np.repeat(starts[run] - (np.cumsum(n) - n), n)].tobytes().decode()
+            ids = np.array(self.library.many([text])[0], np.uint32)
             at = np.flatnonzero(self.begins[ids])
-            learnt.append((np.diff(np.append(at, len(ids))), ids))
-        if learnt:
-            self._learn(0, *map(np.concatenate, zip(*learnt)))
-        if first:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
-            self._learn(1, np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.uint32))
-
-    def _spread(self, side: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each part, and all their ids."""
-        sizes, flat = self.known[side]
-        n, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-        ends = np.cumsum(n)
-        return n, flat[np.arange(n.sum()) + np.repeat(starts - (ends - n), n)]
+            if len(at) == len(run):
+                order.append(run)
+                sizes.append(np.diff(np.append(at, len(ids))))
+                flat.append(ids)
+            else:
+                spaced[run] = False
+        order.append(np.flatnonzero(~spaced))
+        alone = self.library.many([data[a:b].decode() for a, b in zip(starts[~spaced].tolist(), ends[~spaced].tolist())])
+        sizes.append(np.array([len(x) for x in alone], np.int64))
+        flat.append(np.fromiter(chain.from_iterable(alone), np.uint32))
+        rows = np.empty(len(h), np.int64)
+        rows[np.concatenate(order)] = np.arange(len(h)) + len(self.sizes)
+        n = np.concatenate(sizes)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+        self.sizes, self.ids = np.concatenate([self.sizes, n]), np.concatenate([self.ids, *flat])
+        self.table.add(h, rows)
+        return rows
+
+    def _parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts that are encoded whole; rows of all parts of the others; len(texts) + 1 offsets of each text's parts."""
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        texts = pc.if_else(pa.array(whole), "", texts)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = bytes(memoryview(data)[ends[0] : ends[-1]]) if data else b""
+        ends = ends - ends[0]
+        begin = np.frombuffer(data, np.uint8) == 32
+        begin[ends[:-1][ends[:-1] < ends[1:]]] = True
+        starts = np.flatnonzero(begin)
+        h = words.hash_spans(data, starts, np.append(starts[1:], len(data)))
+        h[h == 0] = 1
+        rows = self.table.look(h)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            if len(self.sizes) and len(self.sizes) + len(fresh) > WORDS_KEPT:
+                self._forget()
+                return (whole, *self._parts(texts)[1:])
+            ends_of = np.append(starts[1:], len(data))
+            rows[new] = self._learn(fresh, data, starts[new[first]], ends_of[new[first]])[back]
+        return whole, rows, np.searchsorted(starts, ends)
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
-        """Arrow splits the texts and finds their different parts; only those are looked up one by one."""
-        if sum(map(len, self.codes)) > WORDS_KEPT:
-            self._forget()
-        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        later, first = (c.__getitem__ for c in self.codes)
-        out: list = [np.zeros(0, np.uint32)] * len(texts)
-        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        """The ids of each text."""
+        texts = _plain(texts)
+        whole, rows, parts = self._parts(texts)
+        n = self.sizes[rows]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends[:-1], n)]
+        at = ends[parts]
+        out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         for i in np.flatnonzero(whole).tolist():
-            out[i] = self._ids(texts[i].as_py())
-        cut = np.flatnonzero(~whole & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
-        if not len(cut):
-            return out
-        split = pc.split_pattern(texts.take(pa.array(cut)), " ")
-        counts, parts = pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten()
-        at = np.cumsum(counts) - counts
-        heads = np.array([first(h) if h else -1 for h in parts.take(pa.array(at)).to_pylist()])
-        others = np.ones(len(parts), bool)
-        others[at] = False
-        rest = parts.filter(pa.array(others)).dictionary_encode()
-        tails = np.fromiter(map(later, rest.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(rest.dictionary))[rest.indices.to_numpy()]
-        self._learn_fresh()
-        n, ids = self._spread(0, tails)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts - 1)])]
-        head_n = np.zeros(len(heads), np.int64)
-        head_n[heads >= 0], head_ids = self._spread(1, heads[heads >= 0])
-        head_ends = np.concatenate([[0], np.cumsum(head_n)])
-        for k, i in enumerate(cut.tolist()):
-            out[i] = np.concatenate([head_ids[head_ends[k] : head_ends[k + 1]], ids[ends[k] : ends[k + 1]]])
+            out[i] = np.array(self.library.many([texts[i].as_py()])[0], np.uint32)
         return out
 
+    def count(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        texts = _plain(texts)
+        whole, rows, parts = self._parts(texts)
+        n = np.concatenate([[0], np.cumsum(self.sizes[rows])])[parts]
+        out = n[1:] - n[:-1]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = len(self.library.many([texts[i].as_py()])[0])
+        return out
+
+
+def _plain(texts: pa.Array | list[str | None]) -> pa.Array:
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    return pc.fill_null(texts.cast(pa.string()), "")
+
 
 #: One encoder for each tokenizer file, kept by a Python worker from task to task.
 _ENCODERS: dict[str, Encoder] = {}
@@ -237,12 +283,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Writes the documents' ids in ascending doc_id order, end_id after each; one row per file: shard, docs, n_tokens.
 
     Null texts are empty (only the end id). Null ids come first; rows that repeat an id are each written, in order of
-    their texts. Other columns are ignored. Texts are encoded whole. Rows are dealt by ranges of doc_id, so the order
-    over all files is that of their names, and a repeated task writes the same file again.
+    their texts' first characters and then of a hash. Other columns are ignored. Texts are encoded whole. Rows are dealt
+    by ranges of doc_id (and, where an id repeats, of that order), so the order over all files is that of their names,
+    and a repeated task writes the same file again.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    files = max(1, -(-d.count() // DOCS_A_FILE))
-    d = d.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows, size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    files = max(1, -(-rows // DOCS_A_FILE), -(-size // BYTES_A_FILE))
+    order = ["doc_id", "head", "hash"]
+    d = d.withColumns({"head": F.substring("text", 1, 32), "hash": F.xxhash64("text"), "same": F.monotonically_increasing_id()})
+    d = d.repartitionByRange(files, *order, "same").sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(it):
         out, n, k = FileWriter(bits), 0, 0

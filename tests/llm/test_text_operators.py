@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from chunkflow.llm import elias_fano, language_model, near_dup, token_files, words
+from chunkflow.llm import elias_fano, files, language_model, near_dup, token_files, words
 from chunkflow.llm.common import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,6 +120,12 @@ def test_encoder_equals_the_library(tokenizer):
     got = token_files.Encoder(tokenizer).encode(texts)
     for t, x in zip(texts, got):
         assert x.tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
+    import public_tokenizers
+
+    ranks = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for some in (texts, ["word " * 900, "x", None], []):
+        assert ranks.count(some).tolist() == [len(x) for x in token_files.Encoder(tokenizer).encode(some)]
+    assert [x.tolist() for x in ranks.encode(texts)] == [x.tolist() for x in got]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -153,20 +159,55 @@ def test_token_files(spark, tokenizer, tmp_path):
     assert token_files.read_token_files(f"file://{tmp_path}/e", empty).collect() == []
 
 
+def test_token_files_of_one_id(spark, tokenizer, tmp_path, monkeypatch):
+    """Rows that all share an id, most of them equal, still go to several files, in order."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "DOCS_A_FILE", 40)
+    plain = Tokenizer.from_file(tokenizer)
+    texts = ["same text"] * 200 + [f"text {i:03d}" for i in range(100)]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").repartition(5)
+    manifest = token_files.write_token_files(df, f"file://{tmp_path}", tokenizer)
+    assert manifest.count() >= 6 and max(r.docs for r in manifest.collect()) < 150
+    got, at = token_files.read_token_files(f"file://{tmp_path}", manifest).orderBy("start").collect(), 0
+    for t, r in zip(sorted(texts), got, strict=True):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.ids_crc32) == (7, at, zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(5)
-    for n, u in ((0, 10), (1, 1), (1000, 50), (3000, 10**9), (500, 500)):
+    for n, u in ((0, 10), (1, 1), (1000, 50), (3000, 10**9), (500, 500), (5000, 2**63), (40, 2**63)):
         v = np.sort(rng.integers(0, u, n))
+        if n == 3000:
+            v[:2000] = v[0]  # a long run in one bucket, then far jumps
         s = elias_fano.Sequence(elias_fano.build(v, u, "x"), "x")
         if n:
             assert np.array_equal(s.access(np.arange(n)), v)
+            assert np.array_equal(np.stack(s.pairs(np.arange(n - 1))), np.stack([v[:-1], v[1:]]))
+            ask = np.concatenate([v, rng.integers(0, u, 100)])
+            assert np.array_equal(s.rank(ask), np.searchsorted(v, ask, "right"))
         u_values = np.unique(v)
         s = elias_fano.Sequence(elias_fano.build(u_values, u, "x"), "x")
-        ask = np.concatenate([u_values, rng.integers(-1, u + 2, 200)])
+        ask = np.concatenate([u_values, rng.integers(-1, min(u + 2, 2**63 - 1), 200)])
         got = s.find(ask)
         assert [(-1 if a not in set(u_values.tolist()) else int(np.searchsorted(u_values, a))) for a in ask.tolist()] == got.tolist()
 
 
+def test_trie_searches_between_two_pointers():
+    v, w = np.array([0, 0, 0, 7, 9, 9]), np.array([2, 5, 6, 5, 0, 3])
+    g = language_model.Grams.__new__(language_model.Grams)
+    arrays = files.unpack(np.frombuffer(language_model.Grams.build(v, w, np.arange(1, 7), -np.arange(6.0), 8, 10), np.uint8))
+    g.contexts, g.pointers = (elias_fano.Sequence(arrays, x) for x in ("contexts", "pointers"))
+    g.children = elias_fano.Packed(arrays["children"], int(arrays["width"][0]))
+    asked = sorted({(a, b) for a in range(10) for b in range(8)})
+    got = g.look(np.array([a for a, _ in asked]), np.array([b for _, b in asked])).tolist()
+    at = {p: i for i, p in enumerate(zip(v.tolist(), w.tolist()))}
+    assert got == [at.get(p, -1) for p in asked]
+    assert [x.tolist() for x in g.split(np.arange(6))] == [v.tolist(), w.tolist()]
+
+
 def test_language_model_scores(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["The", "the", "cat", "Sat", "on", f"r{rng.randrange(30)}"]) for _ in range(rng.randrange(40)))) for i in range(80)]
