@@ -161,7 +161,7 @@ def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets of both texts confirm."""
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    both = pairs.select("a", "b").hint("merge").join(text("a"), "a").hint("merge").join(text("b"), "b").select("a", "b", "ta", "tb")
+    both = pairs.select("a", "b").hint("shuffle_hash").join(text("a"), "a").hint("merge").join(text("b"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirm(width, percent), "a long, b long")
 
 
@@ -202,9 +202,9 @@ def _across(mixed: DataFrame, reps: DataFrame, texts: DataFrame, width: int, per
     first of its common buckets alone.
     """
     ids = mixed.select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, full array<long>")
-    full = saved(reps.join(ids, "doc_id", "left_semi").join(sets, "doc_id"), "sets")
-    rows = mixed.join(full.select("doc_id", "n", "sketch", "bands", "full"), "doc_id")
+    sets = texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, full array<long>")
+    full = saved(reps.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").join(sets.hint("merge"), "doc_id"), "sets")
+    rows = mixed.hint("merge").join(full.select("doc_id", "n", "sketch", "bands", "full"), "doc_id")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "c", "n", "sketch", "bands", "full"))) for x in "ab")
     differing = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(BITS // 64))
     tests = (
