@@ -36,9 +36,9 @@ BLOCK = 65_536
 #: Documents and bytes of text of one file, about.
 DOCS_A_FILE, BYTES_A_FILE = 4_000, 32_000_000
 #: Different words that an encoder remembers before it starts anew, and bytes of text that it takes at a time.
-WORDS_KEPT, CHARS = 400_000, 2_000_000
+WORDS_KEPT, CHARS = 800_000, 2_000_000
 #: Places of the encoder's hash table: more than it remembers and a batch can bring.
-PLACES = 2_000_003
+PLACES = 3_000_017
 #: New words that are encoded in one run.
 RUN = 20_000
 #: White space, Unicode's too, as RE2 writes it.
@@ -316,17 +316,15 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
 
     def read(it):
         for f in it:
-            for shard in f["shard"].tolist():
+            for shard, before in zip(f["shard"].tolist(), f["before"].tolist()):
                 data = read_bytes(file_of(folder, shard))
-                rows = [(shard, d, at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in FileReader(data).documents()]
-                names, columns = ["shard", "doc_id", "at", "n_tokens", "ids_crc32"], list(zip(*rows)) or [[]] * 5
+                rows = [(d, before + at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in FileReader(data).documents()]
+                names, columns = ["doc_id", "start", "n_tokens", "ids_crc32"], list(zip(*rows)) or [[]] * 4
                 yield pd.DataFrame({k: pd.array(list(c), "Int64") for k, c in zip(names, columns)})
 
-    files = manifest.count()
-    rows = manifest.select("shard").repartition(max(1, files), "shard").mapInPandas(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = manifest.select("shard", before.alias("before"))  # a row per file
-    return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    starts = manifest.select("shard", before.cast("long").alias("before"))  # a row per file
+    return starts.repartition(max(1, manifest.count()), "shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_bit_plane_tokens(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
