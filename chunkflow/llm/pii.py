@@ -217,19 +217,23 @@ def _cased(word: Column, new: Column) -> Column:
 
 
 def surrogate(m: Column, attempts: Column, names: Column, key: str = "") -> Column:
-    """The match with its entities replaced; attempts: map of entities that need another attempt than 0."""
+    """The match with its entities replaced; attempts: map of entities that need another attempt than 0.
 
-    def of(k: Column, es: Column) -> Column:
-        draw = lambda e: core(e, F.coalesce(F.try_element_at(attempts, e), F.lit(0)), key)
-        v, new = _value(k, m), draw(F.get(es, F.lit(0)))
+    Each surrogate is drawn in one place, as the driver holds and ships a copy of core() for each.
+    """
+
+    draw = lambda e: core(e, F.coalesce(F.try_element_at(attempts, e), F.lit(0)), key)
+
+    def of(k: Column, es: Column, drawn: Column) -> Column:
+        v, new = _value(k, m), F.get(drawn, F.lit(0))
         head = F.substr(m, F.lit(1), F.length(m) - F.length(v))
-        names = F.array_join(F.zip_with(F.split(v, " "), es, lambda w, e: _cased(w, draw(e))), " ")
+        names = F.array_join(F.zip_with(F.split(v, " "), drawn, _cased), " ")
         out = F.when(F.size(es) == 0, m).when(k.isin("phone", "card", "ssn"), _poured(m, _digits(new))).when(k == "person", F.concat(head, names))
         spaced = F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c, i: F.when(c == " ", " ").otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
         out = out.when(k == "iban", spaced).when(k == "secret", F.concat(head, new))
         return out.when((k == "ipv6") & (m == F.upper(m)), F.upper(new)).otherwise(new)
 
-    return let(F.struct(kind_of(m).alias("k"), entities(m, names).alias("es")), lambda s: of(s["k"], s["es"]))
+    return let(F.struct(kind_of(m).alias("k"), entities(m, names).alias("es")), lambda s: let(F.transform(s["es"], draw), lambda drawn: of(s["k"], s["es"], drawn)))
 
 
 def _sealing(key: str) -> Column:

@@ -179,6 +179,13 @@ def test_packing_is_tightest_under_conflicts(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+def test_a_surrogate_is_drawn_in_one_place(spark):
+    """Copies of core() in the plan take the driver's memory."""
+    none = F.lit(None)
+    df = spark.createDataFrame([("x",)], "m string").select(pii.surrogate(F.col("m"), none.cast("map<string,int>"), none.cast("map<string,string>")).alias("s"))
+    assert df._jdf.queryExecution().analyzed().toString().count("sha2(") == 1
+
+
 def test_pii_surrogates(spark):
     texts = [
         "mail bob.42@mail8.example.com, BOB.42@Mail8.example.com and eve@x.de.", "ip 42.144.35.254 card 4041894974608795 or 4041-8949-7460-8795 tel +1 (555) 123-4567",
