@@ -7,6 +7,10 @@ import numpy as np
 #: Every so many set (or clear) bits the directory names the word of the next one.
 HINT = 64
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A word's bytes, bits and the like all at once: every byte 0x01, 0x80, and masks of every second bit, pair and nibble.
+_BYTES, _HIGH, _M1, _M2, _M4 = (np.uint64(x * 0x0101010101010101) for x in (0x01, 0x80, 0x55, 0x33, 0x0F))
+#: By rank * 256 + byte: the place of the byte's set bit of that rank.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8) for b in range(256)], np.int64)
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -30,7 +34,11 @@ class Packed:
         if not self.width:
             return np.zeros(len(i), np.int64)
         at = i * self.width
-        return (self.eight[at >> 3] >> (at & 7).astype(np.uint64) & self.mask).astype(np.int64)
+        out = self.eight[at >> 3]
+        at &= 7
+        out >>= at.view(np.uint64)
+        out &= self.mask
+        return out.view(np.int64)
 
 
 def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
@@ -51,6 +59,16 @@ def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]
     return {f"{name}.head": np.array([n, low, universe], np.uint64), f"{name}.bits": words, f"{name}.ones": ones.astype(small), f"{name}.lows": pack_bits(v & np.uint64((1 << low) - 1), low), **hints}
 
 
+def _in_word(w: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of each word's set bit of that rank (from 0, less than its set bits)."""
+    x = w - (w >> _ONE & _M1)
+    x = (x & _M2) + (x >> np.uint64(2) & _M2)
+    upto = (x + (x >> np.uint64(4)) & _M4) * _BYTES  # set bits up to each byte's end
+    at = np.bitwise_count((rank * _BYTES | _HIGH) - upto & _HIGH).astype(np.uint64) << np.uint64(3)  # of the byte that holds the bit
+    rank = rank - ((upto << np.uint64(8)) >> at & np.uint64(255))
+    return at.view(np.int64) + _IN_BYTE[(rank << np.uint64(8) | w >> at & np.uint64(255)).view(np.int64)]
+
+
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.low, self.universe = (int(x) for x in arrays[f"{name}.head"])
@@ -79,15 +97,7 @@ class Sequence:
                     lo, hi = np.where(more, middle + 1, lo), np.where(more, hi, middle)
                 word[todo] = lo
                 break
-        left = (k - self._before(word, bit)).astype(np.uint64)
-        w = self.bits[word] if bit else self.bits[word] ^ _ALL
-        at = np.zeros(len(k), np.uint64)
-        for half in (32, 16, 8, 4, 2, 1):  # the half of the word that holds the bit, and so on
-            here = np.bitwise_count(w >> at & np.uint64((1 << half) - 1)).astype(np.uint64)
-            over = left >= here
-            left -= here * over
-            at += over * np.uint64(half)
-        return word * 64 + at.astype(np.int64)
+        return word * 64 + _in_word(self.bits[word] if bit else self.bits[word] ^ _ALL, (k - self._before(word, bit)).view(np.uint64))
 
     def _next(self, position: np.ndarray, bit: int, k: np.ndarray) -> np.ndarray:
         """Position of the k-th such bit, which is the next one behind the position."""

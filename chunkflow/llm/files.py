@@ -50,7 +50,7 @@ def mapped(uri: str) -> np.ndarray:
         return np.frombuffer(read_bytes(uri), np.uint8)
     if not os.path.getsize(path):
         return np.zeros(0, np.uint8)
-    return np.memmap(path, np.uint8, "r")
+    return np.asarray(np.memmap(path, np.uint8, "r"))  # a plain view: the subclass makes every later step slower
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:

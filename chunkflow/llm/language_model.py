@@ -58,49 +58,51 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends])
 
 
-def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, with counts; byte planes compress well."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    raw = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() + np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _squeeze(keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray) -> bytes:
+    """Sorted keys as differences, with counts and shorter n-grams' logs; byte planes compress well."""
+    planes = lambda x, kind: np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    raw = planes(np.diff(keys, prepend=np.uint64(0)), "<u8") + planes(counts, "<u4") + planes(shorter, "<u2")
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _loosen(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _loosen(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // 12
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    n = len(raw) // 14
+    column = lambda a, b, kind: np.ascontiguousarray(raw[a * n : b * n].reshape(b - a, n).T).view(kind).ravel()
+    return np.cumsum(column(0, 8, "<u8"), dtype=np.uint64), column(8, 12, "<u4"), column(12, 14, "<u2")
 
 
-def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+def _sum(keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, the sums of their counts, and what is the same wherever a key is."""
+    order = np.argsort(keys)
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else counts, shorter[order[first]]
 
 
 def _counter(keys_of, shard_of):
-    """mapInArrow function: sums of the keys of whole texts, as rows (shard, blob)."""
+    """mapInArrow function: sums of the keys of whole texts, as rows (shard, blob); keys_of: (keys, counts, shorter)."""
     schema = pa.schema([("shard", pa.int64()), ("blob", pa.binary())])
 
     def run(it):
         held, size = [], 0
 
         def flush():
-            keys, counts = _sum(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            keys, counts, shorter = _sum(*columns)
+            columns.clear()
             shard = shard_of(keys)
-            order = np.argsort(shard, kind="stable")
+            order = _by_shard(shard)
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             parts = np.split(order, cuts)
-            rows = [(int(shard[p[0]]), _squeeze(keys[p], counts[p])) for p in parts if len(p)]
-            held.clear()
+            rows = [(int(shard[p[0]]), _squeeze(keys[p], counts[p], shorter[p])) for p in parts if len(p)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
         for batch in it:
             texts = batch.column(0).to_pylist()
             for a, b in words.batches(texts, TOGETHER):
-                keys = keys_of(texts[a:b])
-                held.append(np.unique(keys, return_counts=True))
+                held.append(keys_of(texts[a:b]))
                 size += sum(len(t or "") for t in texts[a:b])
                 if size >= FLUSH_CHARS:
                     yield flush()
@@ -112,7 +114,7 @@ def _counter(keys_of, shard_of):
 
 
 def _reduced(blobs: DataFrame, shards: int, merge, schema: str) -> DataFrame:
-    """merge(shard, keys, counts) for each shard, in a task of its own; its rows are a few blobs for each task that counted."""
+    """merge(shard, keys, counts, shorter) for each shard, in a task of its own; its rows are a few blobs for each task that counted."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(it):
@@ -121,9 +123,11 @@ def _reduced(blobs: DataFrame, shards: int, merge, schema: str) -> DataFrame:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts.setdefault(shard, []).append(_loosen(blob))
         for shard, got in parts.items():
-            keys, counts = _sum(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+            columns = [np.concatenate(x) for x in zip(*got)]
             got.clear()
-            yield pa.RecordBatch.from_pydict({n: [x] for n, x in zip(names, merge(shard, keys, counts))})
+            summed = _sum(*columns)
+            columns.clear()
+            yield pa.RecordBatch.from_pydict({n: [x] for n, x in zip(names, merge(shard, *summed))})
 
     return saved(blobs.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(run, schema), "model")
 
@@ -136,6 +140,12 @@ def _gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((words.mix(keys.astype(np.uint64)) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """Stable order by shard; numbers of few bytes are sorted by radix."""
+    most = int(shard.max(initial=0))
+    return np.argsort(shard.astype(np.uint8 if most < 256 else np.uint16) if most < 65_536 else shard, kind="stable")
+
+
 class Tokens:
     """First level: ids and counts of token hashes, over the mapped files of all shards."""
 
@@ -181,8 +191,9 @@ class Grams:
 
     @staticmethod
     def build(v: np.ndarray, w: np.ndarray, counts: np.ndarray, logs: np.ndarray, size: int, above: int) -> bytes:
-        """v: places of the contexts (of `above` places), w: ids of the tokens (of `size`), sorted by both."""
-        contexts, first = np.unique(v, return_index=True)
+        """logs: log10 P. v: places of the contexts (of `above` places), w: ids of the tokens (of `size`), sorted by both."""
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+        contexts = v[first]
         width = max(1, int(size).bit_length())
         arrays = build(contexts, above, "contexts") | build(np.append(first, len(v)), len(v) + 1, "pointers")
         arrays |= {"children": pack_bits(w, width), "width": np.array([width], np.int64)}
@@ -199,16 +210,18 @@ class Grams:
         begin, end = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
         begin[some], end[some] = self.pointers.pairs(context[some])
         of = np.cumsum(starts) - 1
-        at, end = begin[of], end[of]
-        lo, hi = at, end.copy()
-        todo = np.flatnonzero(lo < hi)
-        while len(todo):
-            middle = (lo[todo] + hi[todo]) >> 1
-            less = self.children[middle] < w[todo]
-            lo[todo[less]] = middle[less] + 1
-            hi[todo[~less]] = middle[~less]
-            todo = todo[lo[todo] < hi[todo]]
-        here = np.flatnonzero(lo < end)
+        lo, n = begin[of], (end - begin)[of]
+        todo = np.flatnonzero(n > 1)
+        at, left, token = lo[todo], n[todo], w[todo]
+        while len(todo):  # the token is at `at` or one of the next left - 1, if anywhere
+            half = left >> 1
+            at += half * (self.children[at + half] <= token)
+            left -= half
+            more = np.flatnonzero(left > 1)
+            if 4 * len(more) <= 3 * len(todo):
+                lo[todo] = at
+                todo, at, left, token = todo[more], at[more], left[more], token[more]
+        here = np.flatnonzero(n)
         here = here[self.children[lo[here]] == w[here]]
         out[here] = lo[here]
         return out
@@ -249,61 +262,50 @@ class Model:
         return self._grams[level, shard]
 
     def look(self, level: int, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place (-1 if unknown), count and log10 P of the n-grams of contexts v and tokens w."""
-        keys, back = np.unique(v * self.size + w, return_inverse=True)
+        """Place (-1 if unknown), count (0 on a last level) and steps of log10 P of the n-grams of contexts v and tokens w."""
+        keys = v * self.size + w
+        sort = np.argsort(keys)
+        keys = keys[sort]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        keys = keys[new]
         shard = _gram_shard(keys, self.shards)
-        places, counts, logs = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        order = np.argsort(shard.astype(np.uint16) if self.shards < 65_536 else shard, kind="stable")
+        order = _by_shard(shard)
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        keys = keys[order]
+        v = keys // self.size
+        w = keys - v * self.size
+        found = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint16)
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            mine, g = order[cuts[s] : cuts[s + 1]], self.grams(level, s)
-            v, w = np.divmod(keys[mine], self.size)
-            at = g.look(v, w)
-            mine, at = mine[at >= 0], at[at >= 0]
-            places[mine], logs[mine] = at + self.bases[level - 2][s], g.logs[at] * -QUANTUM
+            mine, g = slice(cuts[s], cuts[s + 1]), self.grams(level, s)
+            at = g.look(v[mine], w[mine])
+            hit = np.flatnonzero(at >= 0)
+            at, hit = at[hit], hit + cuts[s]
+            found[0][hit], found[2][hit] = at + self.bases[level - 2][s], g.logs[at]
             if len(g.counts):
-                counts[mine] = g.counts[at]
-        return places[back], counts[back], logs[back]
-
-    def split(self, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the context on the level before, and token, of each n-gram."""
-        v, w = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
-        shard = np.searchsorted(self.bases[level - 2], places, "right") - 1
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            mine = order[cuts[s] : cuts[s + 1]]
-            v[mine], w[mine] = self.grams(level, s).split(places[mine] - self.bases[level - 2][s])
-        return v, w
-
-    def chance(self, level: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P of training n-grams (context, token, count) of a level: their counts and the shorter n-gram's P as stored."""
+                found[1][hit] = g.counts[at]
+        where = np.empty(len(keys), np.int64)
+        where[order] = np.arange(len(keys))
+        back = np.empty(len(sort), np.int64)
+        back[sort] = where[np.cumsum(new) - 1]
+        return tuple(x[back] for x in found)
+
+    def chance(self, level: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """P of training n-grams (context, token, count) of a level, sorted by context: their counts and the shorter n-gram's P.
+
+        On the second level P(w) is worked out; above, shorter holds the steps of log10 P that are stored for it.
+        """
+        new = np.append(True, v[1:] != v[:-1])
+        of, v = np.cumsum(new) - 1, v[new]
         if level == 2:
-            return (counts + MU * 10 ** self.log_unigram(self.tokens.counts_of(w))) / (self.tokens.counts_of(v) + MU)
-        spelt, at = [w], v  # the last level - 1 words
-        for k in range(level - 1, 1, -1):
-            spelt.insert(0, self.last(k, at))
-            at = self.split(k, at)[0] if k > 2 else at
-        place = spelt[0]
-        for k in range(2, level):
-            place, _, logs = self.look(k, place, spelt[k - 1])
-        return (counts + MU * 10.0**logs) / (self.counts_of(level - 1, v) + MU)
-
-    def last(self, level: int, places: np.ndarray) -> np.ndarray:
-        """Token at the end of each n-gram."""
-        out = np.empty(len(places), np.int64)
-        shard = np.searchsorted(self.bases[level - 2], places, "right") - 1
-        for s in np.unique(shard).tolist():
-            mine = np.flatnonzero(shard == s)
-            out[mine] = self.grams(level, s).children[places[mine] - self.bases[level - 2][s]]
-        return out
+            return (counts + MU * 10 ** self.log_unigram(self.tokens.counts_of(w))) / (self.tokens.counts_of(v)[of] + MU)
+        return (counts + MU * 10.0 ** (shorter * -QUANTUM)) / (self.counts_of(level - 1, v)[of] + MU)
 
     def counts_of(self, level: int, places: np.ndarray) -> np.ndarray:
-        out = np.empty(len(places), np.int64)
-        shard = np.searchsorted(self.bases[level - 2], places, "right") - 1
-        for s in np.unique(shard).tolist():
-            mine = np.flatnonzero(shard == s)
-            out[mine] = self.grams(level, s).counts[places[mine] - self.bases[level - 2][s]]
+        """Of places in ascending order."""
+        out, base = np.empty(len(places), np.int64), self.bases[level - 2]
+        cuts = np.searchsorted(places, base)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            out[cuts[s] : cuts[s + 1]] = self.grams(level, s).counts[places[cuts[s] : cuts[s + 1]] - base[s]]
         return out
 
     def levels(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray):
@@ -314,25 +316,27 @@ class Model:
             after = np.flatnonzero(before >= level - 1)
             v, c = place[after - 1], count[after - 1]
             both = np.flatnonzero((v >= 0) & (ids[after] >= 0))
-            found, n, logs = self.look(level, v[both], ids[after[both]])
-            place, count = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
-            place[after[both]], count[after[both]] = found, n
-            hit = found >= 0
-            yield after, v, c, after[both[hit]], logs[hit]
-
-    def keys(self, texts) -> np.ndarray:
-        """Keys, on the level after the last, of all n-grams of training texts."""
+            found, n, steps = self.look(level, v[both], ids[after[both]])
+            hit = np.flatnonzero(found >= 0)
+            yield after, v, c, after[both[hit]], steps[hit] * -QUANTUM
+            if level < self.order:
+                place, count = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+                place[after[both]], count[after[both]] = found, n
+
+    def keys(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, on the level after the last, of all n-grams of training texts, counts, and steps of log10 P without the first word."""
         h, offsets = tokens(texts)
-        ids, counts = self.ids(h)
+        ids, _ = self.ids(h)
         before = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
-        place = ids
+        place, shorter = ids, np.zeros(len(ids), np.uint16)
         for level in range(2, self.order + 1):
             after = np.flatnonzero(before >= level - 1)
             at = np.full(len(ids), -1, np.int64)
-            at[after] = self.look(level, place[after - 1], ids[after])[0]
+            at[after], _, shorter[after] = self.look(level, place[after - 1], ids[after])
             place = at
         after = np.flatnonzero(before >= self.order)
-        return (place[after - 1] * self.size + ids[after]).astype(np.uint64)
+        keys, shorter = (place[after - 1] * self.size + ids[after]).astype(np.uint64), shorter[after]
+        return _sum(keys, np.ones(len(keys), np.uint32), shorter) if self.order == 1 else (keys, np.ones(len(keys), np.uint32), shorter)
 
     def score(self, texts) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
@@ -364,15 +368,19 @@ def train(docs: DataFrame, folder: str, order: int) -> tuple[str, int, tuple[tup
     texts = docs.select("text")
     shards = 1 + int((texts.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS)
 
-    def write_tokens(shard, keys, counts):
+    def count_tokens(t):
+        keys, counts = np.unique(tokens(t)[0].astype(np.uint64), return_counts=True)
+        return keys, counts.astype(np.uint32), np.zeros(len(keys), np.uint16)
+
+    def write_tokens(shard, keys, counts, _):
         write_bytes(f"{folder}/tokens-{shard:06d}.bin", Tokens.build(keys.astype(np.int64), counts))
         return shard, len(keys)
 
-    once = texts.mapInArrow(_counter(lambda t: tokens(t)[0].astype(np.uint64), lambda k: _token_shard(k, shards)), "shard long, blob binary")
+    once = texts.mapInArrow(_counter(count_tokens, lambda k: _token_shard(k, shards)), "shard long, blob binary")
     made = {r[0] for r in _reduced(once, shards, write_tokens, "shard long, n long").collect()}  # one row per shard
     empty = np.zeros(0, np.int64)
     for s in set(range(shards)) - made:
-        write_tokens(s, empty, empty)
+        write_tokens(s, empty, empty, empty)
     trained = folder, shards, ()
     for level in range(2, order + 1):
         trained = _next_level(texts, *trained, level == order)
@@ -383,10 +391,12 @@ def _next_level(texts: DataFrame, folder: str, shards: int, sizes: tuple, last:
     """Writes the level after those of sizes; the n-grams of the last level are no contexts and need no counts."""
     level, empty = len(sizes) + 2, np.zeros(0, np.int64)
 
-    def write(shard, keys, counts):
+    def write(shard, keys, counts, shorter):
         m = model(folder, shards, sizes)
-        v, w = (keys // np.uint64(m.size)).astype(np.int64), (keys % np.uint64(m.size)).astype(np.int64)
-        logs = [np.log10(m.chance(level, v[i : i + STEP], w[i : i + STEP], counts[i : i + STEP])) for i in range(0, len(keys), STEP)]
+        keys = keys.view(np.int64)
+        v = keys // m.size
+        w = keys - v * m.size
+        logs = [np.log10(m.chance(level, *(x[i : i + STEP] for x in (v, w, counts, shorter)))) for i in range(0, len(keys), STEP)]
         write_bytes(f"{folder}/grams{level}-{shard:06d}.bin", Grams.build(v, w, empty if last else counts, np.concatenate(logs), m.size, m.places(level - 1)))
         return shard, len(keys)
 

@@ -232,6 +232,32 @@ def test_language_model_scores(spark):
     assert empty.collect() == []
 
 
+def test_a_level_is_built_without_looking_up_shorter_ngrams(spark, tmp_path, monkeypatch):
+    texts = ["a b a b c", "b c a b", "a", "", "c a b a b a"] * 3
+    toks = [split(t) + [None] for t in texts]
+    c = collections.Counter(tuple(t[j : j + k]) for t in toks for k in range(1, 4) for j in range(len(t) - k + 1))
+    folder, shards, sizes = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"), f"file://{tmp_path}", 3)
+    m = language_model.Model(folder, shards, sizes[:1])
+    assert type(m.tokens.hashes[0].bits) is np.ndarray and type(m.grams(2, 0).logs) is np.ndarray  # no memmap, which is slower
+    keys, counts, shorter = language_model._sum(*m.keys(texts))
+    n, v, mu = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c), language_model.MU
+    p2 = lambda g: (c[g] + mu * (c[g[1:]] + 1) / (n + v + 1)) / (c[g[:1]] + mu)
+    want = {x: sorted(((x + mu * p2(g[1:])) / (c[g[:2]] + mu), p2(g[1:])) for g, y in c.items() if len(g) == 3 and x == y) for x in c.values()}
+    monkeypatch.setattr(language_model.Model, "look", None)
+    above, w = np.divmod(keys.astype(np.int64), m.size)
+    chance = m.chance(3, above, w, counts, shorter)
+    got = {x: sorted(zip(chance[counts == x].tolist(), (10 ** (shorter[counts == x] * -language_model.QUANTUM)).tolist())) for x in set(counts.tolist())}
+    assert got.keys() == {x for x, g in want.items() if g} and all(np.allclose(got[x], want[x], rtol=1e-3) for x in got)
+
+
+def test_places_of_bits_in_words():
+    rng = np.random.default_rng(4)
+    w = np.concatenate([rng.integers(0, 2**64, 500, np.uint64) & rng.integers(0, 2**64, 500, np.uint64), np.array([1, 2**63, 2**64 - 1], np.uint64)])
+    pairs = [(x, r, p) for x in w.tolist() for r, p in enumerate(i for i in range(64) if x >> i & 1)]
+    got = elias_fano._in_word(np.array([x for x, _, _ in pairs], np.uint64), np.array([r for _, r, _ in pairs], np.uint64))
+    assert got.tolist() == [p for _, _, p in pairs]
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_language_model_of_longer_contexts(spark, order, monkeypatch):
     monkeypatch.setattr(language_model, "SHARD_CHARS", 3_000)
