@@ -18,6 +18,8 @@ ROWS, BANDS = 5, 43
 BITS = 1024
 #: The sketch's estimate may be this far under the threshold: five standard deviations of 215 samples at 0.75.
 SLACK = 0.15
+#: Keys of bands that a task sorts, about.
+TOGETHER = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _A = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -34,7 +36,7 @@ def minhash(shingle_set: np.ndarray) -> np.ndarray:
         part = piece[: len(x) - i]
         np.multiply(x[i : i + 256, None], _A, out=part)
         np.add(part, _B, out=part)
-        np.minimum(out, part.min(axis=0), out=out)
+        np.minimum(out, np.minimum.reduce(part, axis=0), out=out)
     return out
 
 
@@ -96,40 +98,30 @@ def _confirm(width: int, percent: int):
 
 
 def _buckets(it):
-    """Rows (key, doc_id) sorted by both to the members of the buckets: rows of keys that have more than one row here.
+    """Rows (key, doc_id) of a range of both to the members of the buckets: rows of keys that have more than one row here.
 
     A member comes with the first document of its key in this partition. The first and the last key of the partition
     may go on in others: their first documents come once more, as edges.
     """
     import pyarrow.compute as pc
 
-    last = first_key = None  # the last row is held back until the next is known: key, doc, first, starts
-
     def rows(key, doc, lo, edge):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, doc, lo)] + [pa.array(np.full(len(key), edge))], names=["key", "doc_id", "lo", "edge"])
 
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        key, doc = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in batch.columns)
-        if last is not None:
-            key, doc = np.append(last[0], key), np.append(last[1], doc)
-        starts = np.append(True, key[1:] != key[:-1])
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
-        lo = doc[at]
-        if last is None:
-            first_key = (int(key[0]), int(doc[0]))
-        else:
-            lo[at == 0], starts[0] = last[2], last[3]
-        member = ~starts | np.append(key[1:] == key[:-1], False)
-        member[-1] = False
-        yield rows(key[member], doc[member], lo[member], False)
-        last = key[-1], doc[-1], lo[-1], starts[-1]
-    if last is not None:
-        if not last[3]:
-            yield rows([last[0]], [last[1]], [last[2]], False)
-        ends = list(dict.fromkeys([first_key, (int(last[0]), int(last[2]))]))
-        yield rows([k for k, _ in ends], [d for _, d in ends], [d for _, d in ends], True)
+    batches = [[pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in batch.columns] for batch in it if batch.num_rows]
+    if not batches:
+        return
+    key, doc = (np.concatenate(x) for x in zip(*batches))
+    batches.clear()
+    order = np.argsort(key)
+    key, doc = key[order], doc[order]
+    starts = np.append(True, key[1:] != key[:-1])
+    member = np.flatnonzero(~starts | np.append(~starts[1:], False))
+    doc[member] = doc[member][np.lexsort((doc[member], key[member]))]  # most keys have one row, the others are sorted by document too
+    lo = doc[np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))]
+    yield rows(key[member], doc[member], lo[member], False)
+    ends = list(dict.fromkeys([(int(key[0]), int(doc[0])), (int(key[-1]), int(lo[-1]))]))
+    yield rows([k for k, _ in ends], [d for _, d in ends], [d for _, d in ends], True)
 
 
 def _members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +130,8 @@ def _members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     a is the first document with which b shares the most buckets, the smallest of several. Rows are dealt by ranges of
     key and document, so that a bucket of any size is spread over tasks; the first documents of its parts are paired.
     """
-    keys = reps.select(F.explode("bands").alias("key"), "doc_id").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    tasks = 1 + reps.count() * BANDS // TOGETHER
+    keys = reps.select(F.explode("bands").alias("key"), "doc_id").repartitionByRange(tasks, "key", "doc_id")
     found = saved(keys.mapInArrow(_buckets, "key long, doc_id long, lo long, edge boolean"), "buckets")
     edges = found.where("edge").select("key", "doc_id").distinct()
     cut = edges.groupBy("key").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").select("key", "lo")

@@ -64,6 +64,9 @@ class Tokenizers:
     def many(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self.many([text])[0], np.uint32)
+
 
 class Ranks:
     """The same BPE from a file of ranks, by tiktoken; its special token is the one after the ranks."""
@@ -82,6 +85,9 @@ class Ranks:
     def many(self, texts: list[str]) -> list[list[int]]:
         return [self.encoding.encode(t, allowed_special="all") for t in texts]
 
+    def one(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
+
 
 class Encoder:
     """Ids of whole texts; words that were seen before are not encoded again.
@@ -112,8 +118,7 @@ class Encoder:
         order, sizes, flat = [], [], []
         for run in np.array_split(np.flatnonzero(spaced), 1 + spaced.sum() // RUN):
             n = ends[run] - starts[run]
-            text = raw[np.arange(n.sum()) + np.repeat(starts[run] - (np.cumsum(n) - n), n)].tobytes().decode()
-            ids = np.array(self.library.many([text])[0], np.uint32)
+            ids = self.library.one(raw[np.arange(n.sum()) + np.repeat(starts[run] - (np.cumsum(n) - n), n)].tobytes().decode())
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(run):
                 order.append(run)
@@ -167,7 +172,7 @@ class Encoder:
         at = ends[parts]
         out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         for i in np.flatnonzero(whole).tolist():
-            out[i] = np.array(self.library.many([texts[i].as_py()])[0], np.uint32)
+            out[i] = self.library.one(texts[i].as_py())
         return out
 
     def count(self, texts: pa.Array | list[str | None]) -> np.ndarray:
@@ -177,7 +182,7 @@ class Encoder:
         n = np.concatenate([[0], np.cumsum(self.sizes[rows])])[parts]
         out = n[1:] - n[:-1]
         for i in np.flatnonzero(whole).tolist():
-            out[i] = len(self.library.many([texts[i].as_py()])[0])
+            out[i] = len(self.library.one(texts[i].as_py()))
         return out
 
 

@@ -77,21 +77,25 @@ class Table:
     def __init__(self, places: int):
         self.keys, self.rows, self.n = np.zeros(places, np.uint64), np.zeros(places, np.int32), 0
 
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        """Where the search for each key begins."""
+        return ((mix(keys) >> np.uint64(32)) * np.uint64(len(self.keys)) >> np.uint64(32)).view(np.int64)
+
     def look(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is new."""
         out = np.full(len(keys), -1, np.int64)
-        todo, at = np.arange(len(keys)), (mix(keys) % np.uint64(len(self.keys))).astype(np.int64)
+        todo, at = np.arange(len(keys)), self._place(keys)
         while len(todo):
             found = self.keys[at]
-            hit = found == keys[todo]
+            same = found == keys
+            hit, on = np.flatnonzero(same), np.flatnonzero(~same & (found != 0))
             out[todo[hit]] = self.rows[at[hit]]
-            on = ~hit & (found != 0)
-            todo, at = todo[on], (at[on] + 1) % len(self.keys)
+            todo, keys, at = todo[on], keys[on], (at[on] + 1) % len(self.keys)
         return out
 
     def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
         """Different keys that are new."""
-        todo, at = np.arange(len(keys)), (mix(keys) % np.uint64(len(self.keys))).astype(np.int64)
+        todo, at = np.arange(len(keys)), self._place(keys)
         while len(todo):
             free = self.keys[at] == 0
             self.keys[at[free]] = keys[todo[free]]  # of several for one place one stays

@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chunkflow.llm import elias_fano, files, language_model, near_dup, token_files, words
@@ -88,6 +89,20 @@ def test_links_across_components_in_one_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(rows)
 
 
+def test_buckets_of_rows_in_any_order():
+    rng = random.Random(9)
+    rows = [(rng.randrange(-60, 60), i) for i in range(100)] + [(7, i) for i in range(200, 260)] + [(k, 999) for k in (-99, 99)]
+    rng.shuffle(rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 23])], names=["key", "doc_id"]) for i in range(0, len(rows), 23)]
+    got = [tuple(r.values()) for b in near_dup._buckets(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+    of = collections.defaultdict(list)
+    for k, d in rows:
+        of[k].append(d)
+    want = [(k, d, min(ds), False) for k, ds in of.items() if len(ds) > 1 for d in ds]
+    assert sorted(got) == sorted([*want, (-99, 999, 999, True), (99, 999, 999, True)])
+    assert list(near_dup._buckets(iter([]))) == []
+
+
 def test_odd_sketches_estimate_high_similarity():
     rng = np.random.default_rng(2)
     for share in (0.75, 0.9):
