@@ -20,6 +20,10 @@ from .common import discard, saved, table
 KEY = "spark.chunkflow.surrogate.secret"
 #: Rounds without fewer collisions than before after which a format (say, of short phones) counts as used up.
 STALLED = 30
+#: Entities for each file of a round's state. A task that writes a file to a mounted store starts three processes for its permissions.
+FILE_ROWS = 8192
+#: Pairs of a text and an entity with an attempt above 0, up to which the attempts go to the texts and no text is shuffled.
+SENT = 20_000
 
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Doña|Госпожа"
@@ -248,15 +252,16 @@ def _sealed(df: DataFrame, name: str, key: str, *columns: str) -> DataFrame:
     return out
 
 
-def assigned(found: DataFrame, key: str = "") -> DataFrame:
+def assigned(found: DataFrame, key: str = "", files: int | None = None) -> DataFrame:
     """Entities that need an attempt above 0: entity, attempt.
 
     found: the different entities. Of entities of one kind with one surrogate the smallest keeps it; the others, and
     entities whose surrogate is itself an entity of the texts, draw again until no two meet. What is written between the
-    rounds is encrypted, and removed when the next is written.
+    rounds is encrypted, in at most so many files, and removed when the next is written.
     """
     group = F.substring_index("entity", ":", 1)
-    state = _sealed(found.withColumn("attempt", F.lit(0)).withColumn("core", core(F.col("entity"), F.lit(0), key)), "entities", key, "entity")
+    kept = lambda df: _sealed(df.coalesce(files) if files else df, "entities", key, "entity")
+    state = kept(found.withColumn("attempt", F.lit(0)).withColumn("core", core(F.col("entity"), F.lit(0), key)))
     least, stalled = None, 0
     while True:
         owner = state.groupBy(group.alias("g"), "core").agg(F.min("entity").alias("owner"), F.count("*").alias("n")).where("n > 1").select("core", "g", "owner")
@@ -273,7 +278,7 @@ def assigned(found: DataFrame, key: str = "") -> DataFrame:
             raise RuntimeError(f"no form is free for {left} entities")
         more = state.join(again.withColumn("again", F.lit(1)), "entity", "left")
         more = more.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
-        more = _sealed(more.withColumn("core", F.when(F.col("attempt") > 0, core(F.col("entity"), F.col("attempt"), key)).otherwise(F.col("core"))), "entities", key, "entity")
+        more = kept(more.withColumn("core", F.when(F.col("attempt") > 0, core(F.col("entity"), F.col("attempt"), key)).otherwise(F.col("core"))))
         discard(state, again)
         state = more
     out = _sealed(state.where("attempt > 0").select("entity", "attempt"), "attempts", key, "entity")
@@ -295,7 +300,8 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     Texts without entities are unchanged; null stays null, with 0 entities. Repeated texts get the same replacements.
     Whole texts are searched. A column that is called n_entities is replaced. key: by default that of the session, so
     the same key gives the same surrogates. Rows without a match go straight through; of the others a copy with
-    encrypted texts is kept in the shared folder until the driver ends, and only they meet the attempts.
+    encrypted texts and their entities are kept in the shared folder until the driver ends, and only they meet the
+    attempts. Few attempts are sent to the texts, which then stay where they were read; many are joined by a shuffle.
     """
     key = key_of(docs.sparkSession) if key is None else key
     others = [c for c in docs.columns if c not in ("text", "n_entities")]
@@ -306,12 +312,14 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     hits = _sealed(hits, "pii", key, "t").withColumn("m", F.regexp_extract_all("t", F.lit(ANY), F.lit(0)))
     hits = hits.select("row", "t", names_of(F.col("m")).alias("names"), mentions(F.col("m")).alias("p"))
     hits = hits.withColumn("m", F.when(F.size("names") > 0, F.regexp_extract_all("t", "p", F.lit(0))).otherwise(F.regexp_extract_all("t", F.lit(ANY), F.lit(0))))
-    hits = hits.withColumn("k", F.xxhash64("t"))
-
-    every = hits.select("k", F.explode(F.array_distinct(F.flatten(F.transform("m", lambda m: entities(m, F.col("names")))))).alias("entity"))
-    odd = assigned(every.select("entity").distinct(), key)
-    attempts = every.join(odd, "entity").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("a"))
-    hits = hits.join(attempts, "k", "left")
+    hits = hits.withColumn("k", F.xxhash64("t").cast("string"))
+
+    every = _sealed(hits.select("k", F.explode(F.array_distinct(F.flatten(F.transform("m", lambda m: entities(m, F.col("names")))))).alias("entity")), "pii-entities", key, "k", "entity")
+    odd = assigned(every.select("entity").distinct(), key, -(-every.count() // FILE_ROWS) or 1)
+    met = every.join(odd, "entity")
+    attempts = met.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("a"))
+    few = met.distinct().count() <= SENT
+    hits = hits.join(F.broadcast(attempts) if few else attempts, "k", "left")
     gaps = F.when(F.size("names") > 0, F.split("t", F.col("p"), -1)).otherwise(F.split("t", ANY, -1))
     news = F.transform("m", lambda m: surrogate(m, F.col("a"), F.col("names"), key))
     text = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("m")), news, lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))

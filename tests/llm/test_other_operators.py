@@ -477,3 +477,37 @@ def test_names_never_run_out(spark, monkeypatch):
     odd = {r.entity: r.attempt for r in pii.assigned(found).collect()}
     final = spark.createDataFrame([(r.entity, odd.get(r.entity, 0)) for r in found.collect()], "entity string, attempt int")
     assert final.select(pii.core(F.col("entity"), F.col("attempt")).alias("c")).distinct().count() == 300
+
+
+def test_pii_writes_few_files(spark, monkeypatch, tmp_path):
+    """Not a file for each shuffle partition, as each costs an executor processes."""
+    monkeypatch.setattr(pii, "discard", lambda *_: None)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    shared = Path(spark.conf.get("spark.checkpoint.dir")[7:])
+    old = set(shared.glob("chunkflow-*"))
+    df = spark.range(0, 300, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail u"), "id", F.lit("@x"), "id", F.lit(".org")).alias("text"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pii.replace_pii(df, "few").write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for p in [*set(shared.glob("chunkflow-*")) - old, tmp_path / "out"]}
+    assert len(files) >= 5 and max(files.values()) <= 8, files
+    assert spark.read.parquet(f"{tmp_path}/out").where("text rlike '^mail [^@]+@[^@]+[.]org$' and n_entities = 1").count() == 300
+
+
+def test_attempts_sent_or_shuffled(spark, monkeypatch):
+    for x in ("_CONSONANTS", "_VOWELS"):
+        monkeypatch.setattr(pii, x, getattr(pii, x)[:2])  # 64 names of three syllables
+    texts = [f"Dr. W{a}{b}k was here" for a in "abcdefgh" for b in "abcdefg"]
+    texts += texts[:9]
+    found = []
+    for sent, rows in ((20_000, 8192), (-1, 7)):
+        monkeypatch.setattr(pii, "SENT", sent)
+        monkeypatch.setattr(pii, "FILE_ROWS", rows)
+        found.append(replaced(spark, texts))
+    assert found[0] == found[1] and len({t for t, _ in found[0]}) == 56 and found[0][:9] == found[0][56:]
+    assert max(len(t) for t, _ in found[0]) > min(len(t) for t, _ in found[0])  # some were drawn again
