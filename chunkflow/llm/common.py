@@ -7,11 +7,15 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders in the shared one that nobody has removed.
 _LEFT: dict[str, SparkSession] = {}
+#: Edges that one task joins to components; more go through rounds of steps by all tasks.
+AT_ONCE = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -112,28 +116,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     return one.select("doc_id", "r.text", F.col("r.label").cast("int").alias("label"))
 
 
+def _joined(it):
+    """All edges (u, v) to rows (id, component): roots take the smallest root next to them until no edge joins two."""
+    ends = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in it if batch.num_rows]
+    if not ends:
+        return
+    u, v = (np.concatenate(x) for x in zip(*ends))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of edges (a, b): the smallest id that it reaches.
+    """(id, component) of every node of edges (a, b): the smallest id that it reaches. Edges are read several times.
 
-    Alternates large-star and small-star steps until nothing changes. Each step takes minima of neighbours with partial
-    aggregation and joins them back, so a node with very many edges is never gathered in one task. Nothing but a count
-    and a checksum comes to the driver.
+    Up to AT_ONCE edges are joined in one task. More alternate large-star and small-star steps until nothing changes or
+    so few are left. Each step takes minima of neighbours with partial aggregation and joins them back, so a node with
+    very many edges is never gathered in one task. Nothing but a count and a checksum comes to the driver.
     """
-    e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:  # each round reads the one before only
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, old = saved(large, "large"), e
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(large, old)
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if e.count() > AT_ONCE:
+        e = saved(e.distinct(), "edges")
+        before = None
+        while True:  # each round reads the one before only
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+            if now == before:
+                roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+                return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+            if now[0] <= AT_ONCE:
+                break
+            before = now
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large, old = saved(large, "large"), e
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            discard(large, old)
+    return saved(e.repartition(1).mapInArrow(_joined, "id long, component long"), "joined")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chunkflow.llm import elias_fano, files, language_model, near_dup, token_files, words
+from chunkflow.llm import common, elias_fano, files, language_model, near_dup, token_files, words
 from chunkflow.llm.common import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,6 +120,27 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 5: 5, **{k: 5 for k in range(100, 140)}}
 
 
+@pytest.mark.parametrize(("at_once", "most"), [(common.AT_ONCE, 1), (80, 9), (0, 40)])
+def test_few_edges_take_one_step_and_many_take_rounds(spark, monkeypatch, at_once, most):
+    """The same components either way, and with rounds that end early; a chain took rounds of writes before."""
+    rng, saves = random.Random(4), []
+    monkeypatch.setattr(common, "AT_ONCE", at_once)
+    monkeypatch.setattr(common, "saved", lambda df, name, f=common.saved: saves.append(name) or f(df, name))
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    edges = list(zip(ids, ids[1:]))[:39] + [(rng.choice(ids[40:]), rng.choice(ids[40:])) for _ in range(60)] + [(2**63 - 1, k) for k in range(9)]
+    at = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in at:
+        for a, b in edges:
+            if a != b:
+                at[a] = at[b] = min(at[a], at[b])
+    df = spark.createDataFrame([*edges, *edges[:5], (7, 7), (None, 1), (1, None)], "a long, b long").repartition(3)
+    got = components(df).collect()
+    assert len(got) == len(at)
+    assert {r.id: r.component for r in got} == at
+    assert len(saves) <= most, saves
+    assert components(df.limit(0)).collect() == []
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
